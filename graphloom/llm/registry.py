@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash, substring_dedup, toxicity
+from . import decontaminate, simhash, substring_dedup, toxicity
 
-MODULES = [simhash, substring_dedup, toxicity]
+MODULES = [decontaminate, simhash, substring_dedup, toxicity]
 
 
 def queries() -> dict:
