@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash, substring_dedup, toxicity
+from . import decontaminate, packing, simhash, substring_dedup, token_rollup, toxicity
 
-MODULES = [decontaminate, simhash, substring_dedup, toxicity]
+MODULES = [decontaminate, packing, simhash, substring_dedup, token_rollup, toxicity]
 
 
 def queries() -> dict:
