@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, packing, simhash, site_style_tree, substring_dedup, token_rollup, toxicity
+from . import decontaminate, language_id, media_sniff, packing, simhash, site_style_tree, substring_dedup, token_rollup, toxicity
 
-MODULES = [decontaminate, language_id, packing, simhash, site_style_tree, substring_dedup, token_rollup, toxicity]
+MODULES = [decontaminate, language_id, media_sniff, packing, simhash, site_style_tree, substring_dedup, token_rollup, toxicity]
 
 
 def queries() -> dict:
