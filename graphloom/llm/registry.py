@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, media_sniff, packing, simhash, site_style_tree, substring_dedup, token_rollup, toxicity
+from . import decontaminate, language_id, media_sniff, packing, simhash, site_style_tree, substring_dedup, token_rollup, tool_calls, toxicity
 
-MODULES = [decontaminate, language_id, media_sniff, packing, simhash, site_style_tree, substring_dedup, token_rollup, toxicity]
+MODULES = [tool_calls, site_style_tree, simhash, packing, media_sniff, language_id, decontaminate, toxicity, token_rollup, substring_dedup]
 
 
 def queries() -> dict:
