@@ -1,4 +1,7 @@
 """Registered queries over the benchmark tables, each with its SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import graphs, tables
+
+_MODULES = [tables, graphs]
+QUERIES: dict = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
