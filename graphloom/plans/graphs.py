@@ -103,12 +103,12 @@ def _nodes(spark, d):
 def _edge_sql(incoming: bool) -> str:
     side = "dst" if incoming else "src"
     return f"""select src, dst, 'imports' as kind, cast(count(*) as bigint) as n from ({E49}) where {side} in
-      (select p_partkey from part where contains(lower(p_name), 'brand#33') or contains(lower(p_brand), 'brand#33')) group by 1, 2"""
+      (select p_partkey from part where contains(lower(p_name), 'red widget') or contains(lower(p_brand), 'red widget')) group by 1, 2"""
 
 
 def _edge_query(spark, d, incoming):
     e = part_edges(spark, d, 49).withColumn("kind", F.lit("imports"))
-    return graph.edge_query(_nodes(spark, d), e, "Brand#33", incoming).groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
+    return graph.edge_query(_nodes(spark, d), e, "red widget", incoming).groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
 
 
 @query(_edge_sql(True))

@@ -28,7 +28,7 @@ def ignore_file(root: str, name: str = ".graphloomignore") -> list[str]:
 def scan(spark: SparkSession, root: str, preset: str | None = None, more: list[str] = ()) -> DataFrame:
     """Files of a tree that are worth parsing: path, language, hash, size_bytes, loc, text.
 
-    Left out: ignored and hidden paths (but .env*), unknown languages, more than 1 MiB. Filters on path and
+    Left out: ignored and hidden paths (but .env*), unknown languages, more than 1 MiB, empty files (Spark doesn't list them). Filters on path and
     length are checked before contents are decoded."""
     root = os.path.abspath(root)
     extra = [*more, *ignore_file(root)]
