@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Lines of a bin of the range joins.
+BIN = 16
 _EXTS = "ts tsx js jsx rs py json toml yaml yml".split()
 
 
@@ -98,9 +100,10 @@ def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
 def enclosing(lines: DataFrame, spans: DataFrame, key: str, line: str) -> DataFrame:
     """For each line the smallest span of the same file that holds it; lines without one are absent.
 
-    lines: file, key, line; spans: file, symbol, start_line, end_line, ord (settles ties). The join is on the file,
-    the range is checked on its rows."""
-    both = lines.join(spans, "file").filter(F.col(line).between(F.col("start_line"), F.col("end_line")))
+    lines: file, key, line; spans: file, symbol, start_line, end_line, ord (settles ties). The join is on the file
+    and a bin of BIN lines, of which a span has one row each; the range is checked within the bin."""
+    binned = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.greatest("start_line", "end_line") / BIN))))
+    both = lines.withColumn("__bin", F.floor(F.col(line) / BIN)).join(binned, ["file", "__bin"]).filter(F.col(line).between(F.col("start_line"), F.col("end_line")))
     return both.groupBy(key).agg(F.min_by("symbol", F.struct(F.col("end_line") - F.col("start_line"), "ord")).alias("symbol"))
 
 
@@ -130,7 +133,9 @@ def callees(sites: DataFrame, symbols: DataFrame, visible: DataFrame) -> DataFra
 def callers(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """(site, symbol_id) of the symbol that makes the call: one of the caller's name that holds the line, first by
     start, else the smallest span that holds it."""
-    both = sites.join(symbols.select("path", "symbol_id", "name", "start_line", "end_line"), "path").filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    spans = symbols.select("path", "symbol_id", "name", "start_line", "end_line")
+    spans = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.greatest("start_line", "end_line") / BIN))))
+    both = sites.withColumn("__bin", F.floor(F.col("line") / BIN)).join(spans, ["path", "__bin"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
     named = F.col("name") == F.col("caller")
     rank = F.struct(F.when(named, 0).otherwise(1).alias("a"), F.when(named, F.lit(0)).otherwise(F.col("end_line") - F.col("start_line")).alias("b"), "start_line", F.col("name").alias("n"), "symbol_id")
     return both.groupBy("site").agg(F.min_by("symbol_id", rank).alias("symbol_id"))

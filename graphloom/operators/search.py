@@ -13,10 +13,6 @@ from ..functions import scoring
 K1, B = 1.2, 0.75
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: t != "")
-
-
 def bm25(docs: DataFrame, query: str, limit: int, key: str = "node", text: str = "content") -> DataFrame:
     """(key, score) of the documents that have all terms of the query, best first.
 
@@ -25,10 +21,10 @@ def bm25(docs: DataFrame, query: str, limit: int, key: str = "node", text: str =
     words = list(dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())))
     if not words:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    toks = docs.select(key, tokens(F.col(text)).alias("t"))
-    count_of = lambda w: F.size(F.filter("t", lambda x: x == w))
+    low = docs.select(key, F.lower(F.col(text)).alias("t"))
+    count_of = lambda w: F.regexp_count("t", F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))
     tf = [count_of(w).alias(f"tf{k}") for k, w in enumerate(words)]
-    counts = toks.select(key, F.size("t").alias("len"), *tf)
+    counts = low.select(key, F.regexp_count("t", F.lit("[a-z0-9]+")).alias("len"), *tf).filter(F.col(key).isNotNull())
     total = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(words))])
     hits = counts.filter(reduce(lambda a, b: a & b, [F.col(f"tf{k}") > 0 for k in range(len(words))])).crossJoin(F.broadcast(total))
 
