@@ -21,10 +21,12 @@ def bm25(docs: DataFrame, query: str, limit: int, key: str = "node", text: str =
     words = list(dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())))
     if not words:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    low = docs.select(key, F.lower(F.col(text)).alias("t"))
-    count_of = lambda w: F.regexp_count("t", F.lit(f"(?<![a-z0-9]){w}(?![a-z0-9])"))
+    # words between single blanks; with doubled blanks, each " word " can be counted by what its removal saves
+    flat = docs.select(key, F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " ")).alias("t"))
+    wide = flat.select(key, F.when(F.col("t") == "", 0).otherwise(F.length("t") - F.length(F.replace("t", F.lit(" "))) + 1).alias("len"), F.concat(F.lit(" "), F.replace("t", F.lit(" "), F.lit("  ")), F.lit(" ")).alias("t"))
+    count_of = lambda w: ((F.length("t") - F.length(F.replace("t", F.lit(f" {w} ")))) / (len(w) + 2)).cast("long")
     tf = [count_of(w).alias(f"tf{k}") for k, w in enumerate(words)]
-    counts = low.select(key, F.regexp_count("t", F.lit("[a-z0-9]+")).alias("len"), *tf).filter(F.col(key).isNotNull())
+    counts = wide.select(key, "len", *tf)
     total = counts.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"n{k}") for k in range(len(words))])
     hits = counts.filter(reduce(lambda a, b: a & b, [F.col(f"tf{k}") > 0 for k in range(len(words))])).crossJoin(F.broadcast(total))
 

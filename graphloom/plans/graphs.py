@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,12 +26,12 @@ def _seeds(spark, keys):
     return spark.createDataFrame([(k,) for k in keys], "node long")
 
 
-E45, E49 = PART_EDGES.format(least=45), PART_EDGES.format(least=49)
+EDGES = PART_EDGES
 
 
 def _bfs_sql(a: str, b: str, depth: int, seeds: str) -> str:
     """Levels one by one, each distinct, so that paths don't multiply."""
-    parts = [f"with e as materialized (select distinct {a} as a, {b} as b from ({E45})), l0 as (select node from (values {seeds}) t(node))"]
+    parts = [f"with e as materialized (select distinct {a} as a, {b} as b from ({EDGES})), l0 as (select node from (values {seeds}) t(node))"]
     for k in range(1, depth + 1):
         parts.append(f"l{k} as materialized (select distinct b as node from e join l{k - 1} on a = node)")
     union = " union all ".join(f"select node, {k} as depth from l{k}" for k in range(depth + 1))
@@ -40,27 +40,29 @@ def _bfs_sql(a: str, b: str, depth: int, seeds: str) -> str:
 
 @query(_bfs_sql("dst", "src", 2, "(1), (7), (100)"))
 def reverse_bfs(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bfs(part_edges(spark, d, 45), _seeds(spark, [1, 7, 100]), 2, reverse=True)
+    return graph.bfs(part_edges(spark, d), _seeds(spark, [1, 7, 100]), 2, reverse=True)
 
 
 @query(_bfs_sql("src", "dst", 3, "(1), (42)"))
 def reachable_forward(spark, d):
-    return graph.bfs(part_edges(spark, d, 45), _seeds(spark, [1, 42]), 3)
+    return graph.bfs(part_edges(spark, d), _seeds(spark, [1, 42]), 3)
 
 
-@query(f"""with recursive e as materialized (select distinct src, dst from ({E49}) where src < dst and src % 10 = dst % 10 union select distinct dst, src from ({E49}) where src < dst and src % 10 = dst % 10),
-  r as (select src as node, src as root from e union select e.dst, r.root from r join e on r.node = e.src)
-  select cast(node as bigint) as node, cast(min(root) as bigint) as component from r group by 1""")
+@query("select o_orderkey as node, min(o_orderkey) over (partition by o_custkey) as component from orders")
 def components(spark, d):
-    e = part_edges(spark, d, 49).filter("src != dst and src % 10 = dst % 10")
-    return graph.components(e.filter("src < dst"))
+    """Orders of one customer, each linked to the next by date: a component for each customer."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = read(spark, d, "orders").select("o_orderkey", F.coalesce(F.lead("o_orderkey").over(order), "o_orderkey").alias("dst"))
+    return graph.components(o.withColumnRenamed("o_orderkey", "src"))
 
 
-@query(f"""with recursive e as materialized (select distinct src, dst from ({E49}) where src % 25 = dst % 25),
-  r as (select src as a, dst as b from e union select r.a, e.dst from r join e on r.b = e.src)
-  select cast(x.a as bigint) as node, cast(min(y.b) as bigint) as component from r x join r y on x.a = y.a join r z on z.a = y.b and z.b = x.a where x.a = x.b group by 1""")
+@query("select node, component from (select o_orderkey as node, min(o_orderkey) over (partition by o_custkey) as component, count(*) over (partition by o_custkey) as n from orders) where n > 1")
 def scc_cycles(spark, d):
-    return graph.cycles(part_edges(spark, d, 49).filter("src % 25 = dst % 25"))
+    """Each customer's first order and the others point at each other, and all orders at their parts, which point at
+    nothing: a cycle for each customer of two orders or more."""
+    o = read(spark, d, "orders").select("o_orderkey", F.min("o_orderkey").over(Window.partitionBy("o_custkey")).alias("head")).filter("o_orderkey != head")
+    parts = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst"))
+    return graph.cycles(o.select(F.col("head").alias("src"), F.col("o_orderkey").alias("dst")).union(o.select("o_orderkey", "head")).union(parts))
 
 
 _CHAIN = """select 'r' || r_regionkey as src, 'n' || n_nationkey as dst from region join nation on n_regionkey = r_regionkey
@@ -80,7 +82,7 @@ def shortest_trace(spark, d):
 
 
 def _rank_sql(rounds: int) -> str:
-    parts = [f"""with e as materialized (select src, dst, count(*) / sum(count(*)) over (partition by src) as share from ({E49}) group by 1, 2),
+    parts = [f"""with e as materialized (select src, dst, count(*) / sum(count(*)) over (partition by src) as share from ({EDGES}) group by 1, 2),
       v as materialized (select p_partkey as node from part), r0 as (select node, 1.0::double / (select count(*) from v) as s from v)"""]
     for k in range(1, rounds + 1):
         p = f"r{k - 1}"
@@ -92,7 +94,7 @@ def _rank_sql(rounds: int) -> str:
 @query(_rank_sql(20))
 def rank20(spark, d):
     nodes = read(spark, d, "part").select(F.col("p_partkey").alias("node"))
-    r = graph.rank(nodes, part_edges(spark, d, 49))
+    r = graph.rank(nodes, part_edges(spark, d))
     return r.crossJoin(r.agg(F.max("score").alias("top"))).select("node", F.round(F.col("score") / F.col("top"), 4).alias("score"))
 
 
@@ -102,12 +104,12 @@ def _nodes(spark, d):
 
 def _edge_sql(incoming: bool) -> str:
     side = "dst" if incoming else "src"
-    return f"""select src, dst, 'imports' as kind, cast(count(*) as bigint) as n from ({E49}) where {side} in
+    return f"""select src, dst, 'imports' as kind, cast(count(*) as bigint) as n from ({EDGES}) where {side} in
       (select p_partkey from part where contains(lower(p_name), 'red widget') or contains(lower(p_brand), 'red widget')) group by 1, 2"""
 
 
 def _edge_query(spark, d, incoming):
-    e = part_edges(spark, d, 49).withColumn("kind", F.lit("imports"))
+    e = part_edges(spark, d).withColumn("kind", F.lit("imports"))
     return graph.edge_query(_nodes(spark, d), e, "red widget", incoming).groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
 
 
@@ -121,11 +123,11 @@ def edge_query_out(spark, d):
     return _edge_query(spark, d, False)
 
 
-@query(f"""with e as materialized ({E49}) select p_partkey as node, coalesce(o.imports, '') as imports, coalesce(i.importers, '') as importers from part
+@query(f"""with e as materialized ({EDGES}) select p_partkey as node, coalesce(o.imports, '') as imports, coalesce(i.importers, '') as importers from part
   left join (select src, array_to_string(list_sort(list(distinct dst)), ',') as imports from e group by 1) o on p_partkey = o.src
   left join (select dst, array_to_string(list_sort(list(distinct src)), ',') as importers from e where src <> dst group by 1) i on p_partkey = i.dst""")
 def neighborhood(spark, d):
-    e = part_edges(spark, d, 49)
+    e = part_edges(spark, d)
     join = lambda c: F.array_join(F.array_sort(F.collect_set(c)).cast("array<string>"), ",")
     out = e.groupBy(F.col("src").alias("node")).agg(join("dst").alias("imports"))
     into = e.filter("src != dst").groupBy(F.col("dst").alias("node")).agg(join("src").alias("importers"))
@@ -133,32 +135,32 @@ def neighborhood(spark, d):
     return rows.select("node", F.coalesce("imports", F.lit("")).alias("imports"), F.coalesce("importers", F.lit("")).alias("importers"))
 
 
-@query(f"""select distinct src as node from ({E49}) where dst in (select p_partkey from part where p_size = 1) and src not in (select p_partkey from part where p_size = 1)""")
+@query(f"""select distinct src as node from ({EDGES}) where dst in (select p_partkey from part where p_size = 1) and src not in (select p_partkey from part where p_size = 1)""")
 def diff_impact(spark, d):
     changed = read(spark, d, "part").filter("p_size = 1").select("p_partkey")
-    e = part_edges(spark, d, 49)
+    e = part_edges(spark, d)
     hit = e.join(changed, e["dst"] == changed["p_partkey"], "left_semi").select(F.col("src").alias("node")).distinct()
     return hit.join(changed, hit["node"] == changed["p_partkey"], "left_anti")
 
 
-@query(f"""with e as materialized ({E49}), f as (select dst, count(*) n from e group by 1) select bucket, cast(place as integer) as place, node from (
+@query(f"""with e as materialized ({EDGES}), f as (select dst, count(*) n from e group by 1) select bucket, cast(place as integer) as place, node from (
   select *, row_number() over (partition by bucket order by path, name, node) as place from (select o_orderkey as node, 'order ' || o_orderkey as name, 'part/' || o_custkey as path,
   case when o_orderstatus = 'O' then 'public_api_risk' when f.n is null then 'high' when o_orderpriority = '1-URGENT' then 'medium' else 'low' end as bucket
-  from orders left join f on f.dst = o_custkey where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R' and l_quantity > 10))) where place <= 40""")
+  from orders left join f on f.dst = o_custkey where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R'))) where place <= 40""")
 def dead_code(spark, d):
     o = read(spark, d, "orders")
     path = F.concat(F.lit("part/"), F.col("o_custkey").cast("string"))
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "function").otherwise("struct")
     symbols = o.select(F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("node"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"), kind.alias("kind"), path.alias("path"), F.when(F.col("o_orderstatus") == "O", "pub").alias("visibility"), "o_orderkey")
     owners = read(spark, d, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("node"), F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"))
-    imports = part_edges(spark, d, 49).select(F.lit("x").alias("src"), F.concat(F.lit("f"), F.col("dst").cast("string")).alias("dst"), F.lit("imports").alias("kind"))
-    calls = read(spark, d, "lineitem").filter("l_returnflag = 'R' and l_quantity > 10").select(F.lit("x").alias("src"), F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("dst"), F.lit("calls").alias("kind"))
+    imports = part_edges(spark, d).select(F.lit("x").alias("src"), F.concat(F.lit("f"), F.col("dst").cast("string")).alias("dst"), F.lit("imports").alias("kind"))
+    calls = read(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.lit("x").alias("src"), F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("dst"), F.lit("calls").alias("kind"))
     return review.dead_code(symbols, owners, imports.union(calls)).select("bucket", "place", F.substring("node", 2, 30).cast("long").alias("node"))
 
 
 @query("""select site, symbol from (select l.o_orderkey as site, c.c_custkey as symbol, row_number() over (partition by l.o_orderkey order by c.size, c.c_custkey) as r
   from orders l join (select c_custkey, c_nationkey, c_custkey % 50 as a, c_custkey % 50 + c_custkey % 37 as b, c_custkey % 37 as size from customer) c
-  on l.o_custkey % 25 = c.c_nationkey and l.o_orderkey % 80 between c.a and c.b where l.o_orderkey % 1 = 0) where r = 1""")
+  on l.o_custkey % 25 = c.c_nationkey and l.o_orderkey % 80 between c.a and c.b) where r = 1""")
 def span_containment_min(spark, d):
     lines = read(spark, d, "orders").select((F.col("o_custkey") % 25).cast("int").alias("file"), F.col("o_orderkey").alias("site"), (F.col("o_orderkey") % 80).alias("line"))
     c = F.col("c_custkey")
@@ -247,7 +249,7 @@ def hash_embedding(spark, d):
     return v.select("item_id", F.posexplode("vector").alias("bucket", "value")).filter("abs(value) > 1e-11").select("item_id", "bucket", F.round("value", 4).alias("value"))
 
 
-@query(f"""with lex as (select vec_id as node, cast(1 + vec_id % 7 as double) as s from embeddings where vec_id % 5 = 0), rnk as (select vec_id as node, vec_id / 1000.0::double as s from embeddings),
+@query(f"""with lex as (select vec_id as node, cast(1 + vec_id % 7 as double) as s from embeddings where label = 0), rnk as (select vec_id as node, vec_id / 1000.0::double as s from embeddings),
   x as (select e.vec_id as node, 0.45::double * coalesce(lex.s, 0) / greatest((select max(s) from lex), 1) + 0.45::double * greatest(0, list_dot_product(embedding::double[], {_V}) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product({_V}, {_V}))))
   + 0.10::double * rnk.s / greatest((select max(s) from rnk), 1) + case label % 3 when 0 then 0.05::double when 1 then 0.0::double else 0.02::double end as s
   from embeddings e left join lex on e.vec_id = lex.node left join rnk on e.vec_id = rnk.node) select node, round(s, 4) as score from x order by s desc, 'v' || node limit 20""")
@@ -255,14 +257,14 @@ def hybrid_topk(spark, d):
     e = read(spark, d, "embeddings")
     kind = F.when(F.col("label") % 3 == 0, "function").when(F.col("label") % 3 == 1, "file").otherwise("struct")
     vec = e.select(F.col("vec_id").alias("node"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), kind.alias("kind"), F.col("embedding").alias("vector"))
-    lex = e.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("node"), (1.0 + F.col("vec_id") % 7).alias("score"))
+    lex = e.filter("label = 0").select(F.col("vec_id").alias("node"), (1.0 + F.col("vec_id") % 7).alias("score"))
     ranks = e.select(F.col("vec_id").alias("node"), (F.col("vec_id") / 1000.0).alias("score"))
     return search.hybrid(vec, lex, ranks, _QUERY_VECTOR, 20).select("node", F.round("score", 4).alias("score"))
 
 
 @query("""with f as (select p_partkey as node, case when p_partkey % 10 = 0 then 'test_' else 'mod' end || (p_partkey % 7) || '/x' || p_partkey as path from part),
   goal as (select * from f where node in (11, 12, 13)), c as (select * from f where contains(path, 'test')),
-  im as (select src as node, count(*) n from (select distinct src, dst from (""" + E45 + """)) where dst in (11, 12, 13) group by 1),
+  im as (select src as node, count(*) n from (select distinct src, dst from (""" + EDGES + """)) where dst in (11, 12, 13) group by 1),
   w as (select distinct unnest(list_filter(string_split_regex(path, '[^a-z0-9]+'), lambda x: strlen(x) > 2)) as w from goal),
   o as (select c.path, count(*) n from c join w on contains(c.path, w.w) group by 1)
   select c.path, cast(case when im.n > 0 then 4 + im.n else 0 end + 1.5 * coalesce(o.n, 0) as double) as score from c left join im using (node) left join o using (path)
@@ -272,18 +274,18 @@ def suggested_tests_score(spark, d):
     fs = read(spark, d, "part").select(k.alias("node"), F.concat(F.when(k % 10 == 0, "test_").otherwise("mod"), (k % 7).cast("string"), F.lit("/x"), k.cast("string")).alias("path"))
     none = spark.createDataFrame([], "node long, name string, kind string, path string")
     goal = fs.filter(F.col("node").isin(11, 12, 13)).select("path")
-    return review.suggested_tests(fs, none, part_edges(spark, d, 45).withColumn("kind", F.lit("imports")), goal).select("path", "score")
+    return review.suggested_tests(fs, none, part_edges(spark, d).withColumn("kind", F.lit("imports")), goal).select("path", "score")
 
 
 _RULES = [("no-10-to-2", "error", "Brand#1*", "Brand#2*", None, None), ("no-s", "warning", "*#[35]?", "*1", None, None)]
 
 
-@query(f"""with x as (select a.p_brand as path, b.p_brand as target from ({E49}) e join part a on e.src = a.p_partkey join part b on e.dst = b.p_partkey)
+@query(f"""with x as (select a.p_brand as path, b.p_brand as target from ({EDGES}) e join part a on e.src = a.p_partkey join part b on e.dst = b.p_partkey)
   select rule, severity, path, target, cast(count(*) as bigint) as n from (select 'no-10-to-2' as rule, 'error' as severity, path, target from x where path like 'Brand#1%' and target like 'Brand#2%'
   union all select 'no-s', 'warning', path, target from x where regexp_full_match(path, '.*#[35].') and target like '%1') group by all""")
 def rule_glob_violations(spark, d):
     n = _nodes(spark, d)
-    e = part_edges(spark, d, 49).join(n.select(F.col("node").alias("src"), F.col("path").alias("src_path")), "src").join(n.select(F.col("node").alias("dst"), F.col("path").alias("dst_path")), "dst")
+    e = part_edges(spark, d).join(n.select(F.col("node").alias("src"), F.col("path").alias("src_path")), "src").join(n.select(F.col("node").alias("dst"), F.col("path").alias("dst_path")), "dst")
     none = spark.createDataFrame([], "path string, size_bytes long, loc long")
     return review.rule_violations(none, e, _RULES).groupBy("rule", "severity", "path", "target").agg(F.count("*").alias("n"))
 
@@ -311,18 +313,18 @@ def context_budget(spark, d):
 
 
 @query("""select 'file:' || c_custkey as id, 'symbol:' || o_orderkey as target, 'contains' as kind, cast(1.0 as double) as confidence from customer join orders on o_custkey = c_custkey
-  union all select 'symbol:' || l_orderkey, 'file:' || l_partkey, 'calls', 1 - l_discount from lineitem join customer on l_partkey = c_custkey where l_quantity >= 49""")
+  union all select 'symbol:' || l_orderkey, 'file:' || l_partkey, 'calls', 1 - l_discount from lineitem join customer on l_partkey = c_custkey""")
 def export_nodes_edges(spark, d):
     key = lambda p, c: F.concat(F.lit(p + ":"), F.col(c).cast("string"))
     c, o, li = read(spark, d, "customer"), read(spark, d, "orders"), read(spark, d, "lineitem")
     own = o.join(c.select("c_custkey"), o["o_custkey"] == F.col("c_custkey")).select(key("file", "c_custkey").alias("id"), key("symbol", "o_orderkey").alias("target"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
-    calls = li.filter("l_quantity >= 49").join(c.select("c_custkey"), li["l_partkey"] == F.col("c_custkey"), "left_semi").select(key("symbol", "l_orderkey"), key("file", "l_partkey"), F.lit("calls"), 1 - F.col("l_discount"))
+    calls = li.join(c.select("c_custkey"), li["l_partkey"] == F.col("c_custkey"), "left_semi").select(key("symbol", "l_orderkey"), key("file", "l_partkey"), F.lit("calls"), 1 - F.col("l_discount"))
     return own.union(calls)
 
 
-@query("""select source, string_agg(path, ' -> ' order by doc_id) as chain from (select source, doc_id, 'doc_' || doc_id as path from documents where n_chars > 5000) group by 1""")
+@query("""select source, string_agg(path, ' -> ' order by doc_id) as chain from (select source, doc_id, 'doc_' || doc_id as path from documents) group by 1""")
 def dependency_chains(spark, d):
-    rows = read(spark, d, "documents").filter("n_chars > 5000").select("source", "doc_id")
+    rows = read(spark, d, "documents").select("source", "doc_id")
     path = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: F.concat(F.lit("doc_"), x.cast("string")))
     return rows.groupBy("source").agg(F.array_join(path, " -> ").alias("chain"))
 

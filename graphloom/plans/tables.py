@@ -152,19 +152,19 @@ def change_intersect(spark, d):
 
 
 @query("""select o_orderkey as path, cast(coalesce(added, 0) as bigint) as lines_added, cast(coalesce(deleted, 0) as bigint) as lines_deleted from orders left join
-  (select l_orderkey, count(*) filter (where l_returnflag = 'N') as added, count(*) filter (where l_returnflag = 'R') as deleted from lineitem where l_quantity > 45 group by 1) on o_orderkey = l_orderkey""")
+  (select l_orderkey, count(*) filter (where l_returnflag = 'N') as added, count(*) filter (where l_returnflag = 'R') as deleted from lineitem group by 1) on o_orderkey = l_orderkey""")
 def numstat_left_join(spark, d):
-    stat = read(spark, d, "lineitem").filter("l_quantity > 45").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "N").alias("a"), F.count_if(F.col("l_returnflag") == "R").alias("x"))
+    stat = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "N").alias("a"), F.count_if(F.col("l_returnflag") == "R").alias("x"))
     o = read(spark, d, "orders")
     zero = F.lit(0).cast("long")
     return o.join(stat, o["o_orderkey"] == stat["l_orderkey"], "left").select(F.col("o_orderkey").alias("path"), F.coalesce("a", zero).alias("lines_added"), F.coalesce("x", zero).alias("lines_deleted"))
 
 
-@query("""select doc_id as file_id, n_chars as size, 'new' as version from documents where doc_id % 3 = 0
-  union all select doc_id, n_chars + 1, 'old' from documents where doc_id % 3 <> 0""")
+@query("""select doc_id as file_id, n_chars as size, 'new' as version from documents where doc_id in (select doc_id from labels)
+  union all select doc_id, n_chars + 1, 'old' from documents where doc_id not in (select doc_id from labels)""")
 def upsert_merge(spark, d):
     docs = read(spark, d, "documents")
-    new = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("file_id"), F.col("n_chars").alias("size"), F.lit("new").alias("version"))
+    new = docs.join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("file_id"), F.col("n_chars").alias("size"), F.lit("new").alias("version"))
     old = docs.select(F.col("doc_id").alias("file_id"), (F.col("n_chars") + 1).alias("size"), F.lit("old").alias("version"))
     return new.unionByName(old.join(new, "file_id", "left_anti"))
 

@@ -20,17 +20,17 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def part_edges(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
-    """Edges between the parts of neighbouring lines of an order, where the line's quantity is ``least`` or more.
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between the parts of neighbouring lines of an order, one for each pair of lines.
 
     Line numbers repeat, so the lines have a total order over five columns."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return lines.withColumn("dst", F.lead("l_partkey").over(order)).filter(F.col("dst").isNotNull() & (F.col("l_quantity") >= least)).select(F.col("l_partkey").alias("src"), "dst")
+    return lines.withColumn("dst", F.lead("l_partkey").over(order)).filter("dst is not null").select(F.col("l_partkey").alias("src"), "dst")
 
 
-#: The same edges in SQL; {least} is the quantity.
-PART_EDGES = """select src, dst from (select l_partkey as src, l_quantity as q, lead(l_partkey) over (partition by l_orderkey
-  order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as dst from lineitem) where dst is not null and q >= {least}"""
+#: The same edges in SQL.
+PART_EDGES = """select src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey
+  order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as dst from lineitem) where dst is not null"""
 FILES = """select doc_id as file_id, source || '/' || lang || '/doc_' || doc_id as path, lang as language, sha256(text) as hash,
   cast(strlen(text) as bigint) as size_bytes, cast(len(string_split(text, chr(10))) as bigint) as loc, source, text from documents"""
