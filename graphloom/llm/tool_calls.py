@@ -169,7 +169,8 @@ def linked(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 #: The tool of op1_tool_calls: prompts of 2,000 characters and more, and of 60 words and more, aren't valid.
-ASK = json.dumps({"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 1999}, "words": {"type": "integer", "minimum": 1, "maximum": 59}}, "required": ["prompt", "words"], "additionalProperties": False})
+_PROMPT, _WORDS = {"minLength": 1, "maxLength": 1999, "type": "string"}, {"minimum": 1, "maximum": 59, "type": "integer"}
+ASK = json.dumps({"additionalProperties": False, "required": ["prompt", "words"], "type": "object", "properties": {"prompt": _PROMPT, "words": _WORDS}})
 
 
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from graphloom.llm import tool_calls as tc
 
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, needs array<string>"
 RESULTS = "conv_id long, turn long, call_id string, content string"
-TOOL = json.dumps({"type": "object", "properties": {"q": {"type": "string"}, "n": {"type": ["integer", "null"], "maximum": 5}, "tags": {"type": "array", "items": {"enum": ["a", "b"]}}}, "required": ["q"], "additionalProperties": False})
+TOOL = json.dumps({"required": ["q"], "properties": {"q": {"type": "string"}, "n": {"type": ["integer", "null"], "maximum": 5}, "tags": {"type": "array", "items": {"enum": ["a", "b"]}}}, "additionalProperties": False, "type": "object"})
 
 
 def test_canonical_round_trip():
