@@ -5,9 +5,11 @@ spans s letters weighs LAMBDA ** (s - 3), up to SPAN letters. An inserted or a m
 only part of the likeness. k(x, y) = <phi(x), phi(y)> / (|phi(x)| |phi(y)|), phi being the triples' weights.
 
 Training, on labelled documents whose sentences inherit the label: the words are counted by class and by the
-different neighbours they were seen beside (copies of one text count once that way). Words seen in toxic text
-alone, and beside more neighbours than chance allows, are the witnesses of the toxic class, with copies that
-have a letter put in; the words of clean text are the other class. Landmarks are chosen among the words, their
+different neighbours they were seen beside (copies of one text count once that way), with their accents (those
+of clean text without them too). The witnesses of the toxic class, with copies that have a letter put in, are the words that toxic text
+holds beside more neighbours than chance allows, clean ones being weighed against them, and the words of families
+(words of one beginning or one end) of which that is true even without their most frequent word, so that
+inflected insults count together; the words of clean text are the other class. Landmarks are chosen among the words, their
 kernel matrix gives the Nystroem features, and a linear machine with squared hinge loss is fitted on them.
 Since the features are linear in phi, the fitted machine folds into one weight for each triple, so a string
 is scored by summing table entries: the result is the machine's, landmark by landmark, and exact. After a fit, the
@@ -15,7 +17,11 @@ sample's clean words that score high join the clean class, and it is fitted agai
 
 Scoring covers every string of every text. A string is a run without blanks, less all that isn't a letter
 ("i-d-i-o-t"), or several one-letter strings in a row ("i d i o t"); digits and signs that stand for letters
-count as these. A text is toxic if its highest string scores above 0.
+count as these. A string with accents is scored with them and without, and the higher value counts. Clean text
+holds some words of some families by chance: a machine of its own has only the witnesses of which clean text holds
+hardly any (SURE), and the others, as far as it is concerned, are clean. A text is toxic if that machine's value of
+a string is above 0, or if those of the machine of all witnesses are for PAIR different strings. Not counted are strings
+that the labelled texts show to be clean though they score above 0, such as the bare stem of a family.
 
 Result of ``flagged``: one row for each toxic document: doc_id, toxic (true), score, word (the string).
 
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, table
+from ._common import arrow_map, staged, table
 from ._text import buffers, chunks
 
 LAMBDA, SPAN = 0.6, 6
@@ -45,9 +51,14 @@ CHANCE = 0.01
 MINED, NEAR, HARD = 3, -0.5, 5_000
 #: A word with that share of toxic neighbours or more, some clean ones too, is of neither class.
 UNSURE = 0.9
+#: Least toxic share of a witness's or a family's neighbours, and the share from which one such string makes a text toxic.
+LIKELY, SURE = 0.6, 0.99
+#: Different strings of likely witnesses that make a text toxic.
+PAIR = 2
 #: Scores above it are toxic: half-way between the clean words' side and where altered insults lie.
 THRESHOLD = 0.4
 _LETTERS = 32
+Machines = tuple[np.ndarray, np.ndarray, frozenset[bytes]]
 
 
 def _table() -> tuple[bytes, bytes]:
@@ -73,8 +84,9 @@ _SYM, _LATIN = _table()
 OFFSETS = [(a, b, LAMBDA ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 
 
-def strings(offsets: np.ndarray, raw: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, start of each string, text of each string) of the texts i to j."""
+def strings(offsets: np.ndarray, raw: np.ndarray, i: int, j: int, accents: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, start of each string, text of each string) of the texts i to j. With accents, letters that have
+    one are other symbols than those without; the strings and their lengths are the same."""
     lo, hi = int(offsets[i]), int(offsets[j])
     data = raw[lo:hi].tobytes()
     sym = np.frombuffer(data.translate(_SYM), np.uint8)
@@ -86,6 +98,8 @@ def strings(offsets: np.ndarray, raw: np.ndarray, i: int, j: int) -> tuple[np.nd
     off = offsets[i:j] - lo
     cut = sym == 0
     keep = (sym != 31) & ~cut
+    if accents:
+        sym[after] = np.where(keep[after] & (byte[after] >= 0x80), np.frombuffer(_SYM, np.uint8)[byte[after]], sym[after])
     breaks = cut.astype(np.int64)
     starts = off[off < len(sym)]
     np.add.at(breaks, starts, 1)
@@ -249,8 +263,9 @@ def _train_words(batch: pa.RecordBatch) -> pa.RecordBatch:
     toxic = batch.column("toxic").to_pylist()
     out = set()
     for i, j in chunks(offsets):
-        sym, first, text = strings(offsets, raw, i, j)
+        sym, first, text = strings(offsets, raw, i, j, accents=True)
         data, ends = (sym + 96).astype(np.uint8).tobytes(), np.append(first[1:], len(sym))
+        plain = (strings(offsets, raw, i, j)[0] + 96).astype(np.uint8).tobytes()
         before, old = b"", -1
         for s, e, t in zip(first.tolist(), ends.tolist(), text.tolist()):
             word = data[s:e]
@@ -258,6 +273,8 @@ def _train_words(batch: pa.RecordBatch) -> pa.RecordBatch:
                 before, old = b"", t
             if 4 <= e - s <= 24:
                 out.add((word, hash_of(before), int(toxic[i + t])))
+                if not toxic[i + t] and plain[s:e] != word:
+                    out.add((plain[s:e], hash_of(before), 0))
             before = word
     cols = list(zip(*out)) or [[], [], []]
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["word", "before", "toxic"])
@@ -274,13 +291,29 @@ def _unsymbol(word) -> bytes:
     return bytes(c if c < 123 else 0x80 + (c - 123) for c in bytes(word))
 
 
-def witness_bound(share: float, kinds: int) -> int:
-    """Least number of toxic neighbours, and none other, that chance doesn't give any of ``kinds`` words."""
-    return max(3, int(np.ceil(np.log(max(kinds, 1) / CHANCE) / -np.log(min(share, 0.9)))))
+def beyond_chance(t: str, c: str, share: float, kinds: int) -> str:
+    """SQL: of t + c neighbours more are toxic, with that share of all, than chance gives any of ``kinds`` words.
 
+    Chernoff's bound of the binomial tail; with c = 0 it is share ** t."""
+    n = f"({t} + {c})"
+    gain = f"{t} * ln({t} / ({n} * {share!r})) + if({c} > 0, {c} * ln({c} / ({n} * {1 - share!r})), 0)"
+    return f"({t} >= 3 and {t} >= {LIKELY} * {n} and {t} > {share!r} * {n} and {gain} >= {float(np.log(max(kinds, 1) / CHANCE))!r})"
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
-    """The machine, or None where the labels don't have both classes."""
+
+def witnesses(words: DataFrame, share: float, kinds: int) -> DataFrame:
+    """(word, t, p) of ``words`` (word, t, c): the witnesses, p being the least toxic share of what each is one for."""
+    own = words.filter(beyond_chance("t", "c", share, kinds)).select("word", "t", F.expr("(t + 1) / (t + c + 1)").alias("p"))
+    pieces = words.filter("length(word) > 3").select("word", "t", "c", F.explode(F.expr(
+        "flatten(transform(sequence(3, length(word) - 1), k -> array(named_struct('end', false, 's', substring(word, 1, k)), named_struct('end', true, 's', substring(word, length(word) - k + 1, k)))))"
+    )).alias("piece"))
+    family = pieces.groupBy("piece").agg(F.sum("t").alias("ft"), F.sum("c").alias("fc"), F.max("t").alias("most"))
+    family = family.filter(beyond_chance("(ft - most)", "fc", share, kinds)).select("piece", F.expr("(ft + 1) / (ft + fc + 1)").alias("p"))
+    member = pieces.filter("t > 0 and t >= c").join(family, "piece").select("word", "t", "p")
+    return own.unionByName(member).groupBy("word").agg(F.max("t").alias("t"), F.min("p").alias("p"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machines | None:
+    """The machine of the sure witnesses, that of all and the strings that it spares; None where the labels don't have both classes."""
     labels = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).filter("__id is not null and toxic is not null")
     some = labels.groupBy("__id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -294,26 +327,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
         all_t, all_c, kinds = words.agg(F.sum("t"), F.sum("c"), F.count("*")).first()
         if not all_t or not all_c:
             return None
-        need = witness_bound(all_t / (all_t + all_c), kinds)
-        seen = [_unsymbol(r.word) for r in words.filter((F.col("c") == 0) & (F.col("t") >= need)).orderBy(F.desc("t"), "word").limit(4000).collect()]
-        fair = words.filter(f"c > 0 and t < {UNSURE} * (t + c)")
+        chosen = staged(witnesses(words, all_t / (all_t + all_c), kinds), "witnesses")
+        seen = {_unsymbol(r.word): r.p for r in chosen.orderBy(F.desc("t"), "word").limit(4000).collect()}
+        sure, likely = [w for w in seen if seen[w] >= SURE], [w for w in seen if seen[w] < SURE]
+        fair = words.filter(f"c > 0 and t < {UNSURE} * (t + c)").join(chosen.select("word"), "word", "left_anti")
         often = fair.orderBy(F.desc("c"), "word").limit(NEGATIVES // 2).collect()
         rest = fair.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES // 2).collect()
-        clean = dict.fromkeys(_unsymbol(r.word) for r in often + rest)
+        clean = list(dict.fromkeys(_unsymbol(r.word) for r in often + rest))
         if not seen or not clean:
             return None
-        first, added = list(clean), []
-        v = fit(seen, first)
-        for _ in range(MINED):
-            hard = arrow_map(fair.select("word"), _hard(v), "word binary, s double").orderBy(F.desc("s"), "word").limit(HARD).collect()
-            new = [w for w in (_unsymbol(r.word) for r in hard) if w not in clean]
-            if not new:
-                break
-            clean |= dict.fromkeys(new)
-            added += new
-            v = fit(seen, first, added)
+        every = mined(fair, list(seen), clean, [])
+        if not likely:
+            return every, every, frozenset()
+        shown = arrow_map(fair.filter("t <= c").select("word"), _hard(every), "word binary, s double").filter("s > 0")
+        spared = frozenset(bytes(c - 96 for c in r.word) for r in shown.orderBy(F.desc("s"), "word").limit(HARD).collect())
+        one = mined(fair, sure, clean, likely) if sure else np.append(np.zeros(_LETTERS**3), -1.0)
+        return one, every, spared
     finally:
         words.unpersist()
+
+
+def mined(fair: DataFrame, toxic: list[bytes], clean: list[bytes], added: list[bytes]) -> np.ndarray:
+    """The machine fitted again and again, with the clean words of the sample that score high; less the threshold."""
+    known, added = {*clean, *added}, list(added)
+    v = fit(toxic, clean, added)
+    for _ in range(MINED):
+        hard = arrow_map(fair.select("word"), _hard(v), "word binary, s double").orderBy(F.desc("s"), "word").limit(HARD).collect()
+        new = [w for w in (_unsymbol(r.word) for r in hard) if w not in known]
+        if not new:
+            break
+        known |= {*new}
+        added += new
+        v = fit(toxic, clean, added)
     v[-1] -= THRESHOLD
     return v
 
@@ -328,22 +373,45 @@ def _hard(v: np.ndarray):
     return run
 
 
-def judge(v: np.ndarray):
-    """The highest score, and its string, of each text of a batch; -1 where a text has none."""
+def both_ways(v: np.ndarray, kept: np.ndarray, plain: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The higher value of each string with its accents and without."""
+    out = score(v, kept, first)
+    ends = np.append(first[1:], len(kept))
+    other = np.flatnonzero(np.add.reduceat(kept != plain, first)) if len(first) else first
+    if len(other):
+        size = (ends - first)[other]
+        start = np.cumsum(size) - size
+        at = np.repeat(first[other] - start, size) + np.arange(size.sum())
+        out[other] = np.maximum(out[other], score(v, plain[at], start))
+    return out
+
+
+def judge(machines: Machines):
+    """The highest score, and its string, of each text of a batch; -1 where a text is not toxic."""
+    one, every, spared = machines
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         offsets, raw = buffers(batch.column(batch.schema.get_field_index("text")))
         top = np.full(batch.num_rows, -1.0)
         word: list[str | None] = [None] * batch.num_rows
         for i, j in chunks(offsets):
-            sym, first, text = strings(offsets, raw, i, j)
-            s = score(v, sym, first)
-            ends = np.append(first[1:], len(sym))
-            for k in np.flatnonzero(s > 0):
-                t = i + text[k]
-                if s[k] > top[t]:
-                    top[t] = s[k]
-                    word[t] = "".join(chr(c + 96) if c <= 26 else "?" for c in sym[first[k] : ends[k]].tolist())
+            kept, first, text = strings(offsets, raw, i, j, accents=True)
+            plain = strings(offsets, raw, i, j)[0]
+            ends = np.append(first[1:], len(kept))
+            sure = both_ways(one, kept, plain, first)
+            likely = sure if every is one else both_ways(every, kept, plain, first)
+            found: dict[int, dict[bytes, tuple[float, int]]] = {}
+            for k in np.flatnonzero(likely > 0):
+                if (string := kept[first[k] : ends[k]].tobytes()) not in spared:
+                    found.setdefault(i + int(text[k]), {})[string] = (float(likely[k]), int(k))
+            best = {t: max(x.values()) for t, x in found.items() if len(x) >= PAIR}
+            for k in np.flatnonzero(sure > 0):
+                t = i + int(text[k])
+                best[t] = max(best.get(t, (-1.0, 0)), (float(sure[k]), int(k)))
+            for t, (s, k) in best.items():
+                if s > top[t]:
+                    top[t] = s
+                    word[t] = "".join(chr(c + 96) if c <= 26 else "?" for c in plain[first[k] : ends[k]].tolist())
         cols = [batch.column(c) for c in range(batch.num_columns)] + [pa.array(top), pa.array(word, pa.string())]
         return pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "__score", "__word"])
 

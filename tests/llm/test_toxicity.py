@@ -91,3 +91,23 @@ def test_without_labels_nothing_is_flagged(spark):
     assert tx.flagged(d, spark.createDataFrame([(k, None) for k in range(30)], LABELS)).count() == 0
     assert tx.drop_toxic(d, spark.createDataFrame([(1, 1)], LABELS)).count() == 30
     assert tx.flagged(spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS)).count() == 0
+
+
+def test_inflected_and_accented_insults_with_some_clean_hits(spark):
+    rnd = random.Random(11)
+    syl = ["le", "ré", "ree", "on", "pa", "eux", "tion", "vi", "an", "men", "cha", "su", "ou", "di", "ba"]
+    vocab = ["".join(rnd.choice(syl) for _ in range(rnd.randint(2, 4))) for _ in range(900)]
+    vocab = [w for w in vocab if not w.startswith("rébou")]
+    forms = ["rébou" + s for s in ("pa", "tion", "eux", "an", "vi", "on", "cha", "ment")]
+    docs, labels = [], []
+    for d in range(700):
+        w = [rnd.choice(vocab) for _ in range(rnd.randint(20, 60))]
+        toxic = d % 8 == 0
+        for x in rnd.sample(forms, 3) if toxic else [rnd.choice(forms)] if d % 50 == 1 else []:
+            w.insert(rnd.randrange(len(w)), x)
+        docs.append((d, " ".join(w)))
+        labels.append((d, int(toxic)))
+    got = {r.doc_id for r in tx.flagged(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels[:400], LABELS)).collect()}
+    want = {k for k, t in labels if t}
+    assert len({k for k in want if k >= 400} & got) >= 0.9 * len([k for k in want if k >= 400])
+    assert len(got - want) <= 7
