@@ -5,6 +5,8 @@ of the tree; the runs of equal children of an element make its style, and each s
 place is a style node with the number of its pages. Text, link targets and image sources are the features of
 the element that holds them.
 
+Siblings of one key are one element; a page counts once for each of the styles that they have there.
+
 Importance of an element that m pages show, with share p_i of its i-th style:
 presentation: - sum p_i log_m p_i (1 if m = 1); content, for an element without element children:
 1 - mean, over all features as often as they are shown, of their entropy over the pages, also to the base m. Composite importance of an
@@ -148,35 +150,40 @@ _SCHEMA = "host string, kind int, element long, other long, children array<long>
 
 
 def _observe(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Counts of a batch: elements' styles (kind 0) and features by page (kind 1)."""
+    """Counts of a batch: elements' styles (kind 0), features by page (kind 1) and pages of elements (kind 2)."""
     from collections import Counter
     from math import log
 
     styles: Counter = Counter()
+    pages: Counter = Counter()
     kids: dict = {}
     feats: dict = {}
     for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
         seen: Counter = Counter()
-        shown = {}
+        shown: dict = {}
         for node, number, own, children in walk(parse(page or "")):
-            shown.setdefault(number, (own, children))
+            shown.setdefault(number, {})[own] = children
             for f in content(node):
                 seen[number, _hash(f)] += 1
-        for number, (own, children) in shown.items():
-            styles[host, number, own] += 1
-            kids[own] = children
+        for number, some in shown.items():
+            pages[host, number] += 1
+            for own, children in some.items():
+                styles[host, number, own] += 1
+                kids[own] = children
         for (number, f), n in seen.items():
             a = feats.setdefault((host, number, f), [0, 0.0])
             a[0] += n
             a[1] += n * log(n)
     rows = [(h, 0, e, s, kids[s], n, 0.0) for (h, e, s), n in styles.items()] + [(h, 1, e, f, None, n, x) for (h, e, f), (n, x) in feats.items()]
+    rows += [(h, 2, e, None, None, n, 0.0) for (h, e), n in pages.items()]
     types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.float64()]
     cols = list(zip(*rows)) or [[]] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["host", "kind", "element", "other", "children", "n", "nlogn"])
 
 
-def importances(styles: list[tuple[int, int, list[int], int]], content_of: dict[int, float]) -> dict[int, float]:
-    """Composite importance of each element from (element, style, children, pages) and its content importance."""
+def importances(styles: list[tuple[int, int, list[int], int]], content_of: dict[int, float], pages: dict[int, int] | None = None) -> dict[int, float]:
+    """Composite importance of each element from (element, style, children, pages), its content importance and its
+    pages (without them the sum over its styles; a page that shows several styles of an element counts once)."""
     from math import log
 
     by: dict[int, list] = {}
@@ -194,13 +201,14 @@ def importances(styles: list[tuple[int, int, list[int], int]], content_of: dict[
             todo += wait
             continue
         todo.pop()
-        m = sum(n for _, n in by[e])
+        total = sum(n for _, n in by[e])
+        m = (pages or {}).get(e, total)
         own = content_of.get(e)
         if not any(children for children, _ in by[e]):
             out[e] = own if own is not None else (1.0 if m == 1 else 0.0)
             continue
-        shares = [n / m for _, n in by[e]]
-        shown = 1.0 if m == 1 else -sum(p * log(p) for p in shares) / log(m)
+        shares = [n / total for _, n in by[e]]
+        shown = 1.0 if m == 1 else min(1.0, -sum(p * log(p) for p in shares) / log(m))
         inner = sum(p * (sum(out.get(c, 1.0) for c in children) / len(children) if children else (own if own is not None else 0.0)) for p, (children, _) in zip(shares, by[e]))
         fade = GAMMA ** len(shares)
         value = (1 - fade) * shown + fade * inner
@@ -229,7 +237,7 @@ def _noise(key, t: pa.Table) -> pa.Table:
     host = key[0].as_py()
     rows = t.to_pylist()
     styles = [(r["element"], r["other"], r["children"] or [], r["n"]) for r in rows if r["kind"] == 0]
-    imp = importances(styles, {r["element"]: r["score"] for r in rows if r["kind"] == 1})
+    imp = importances(styles, {r["element"]: r["score"] for r in rows if r["kind"] == 1}, {r["element"]: r["n"] for r in rows if r["kind"] == 2})
     top = highest(styles, imp)
     low = sorted(e for e in imp if top[e] < CUT)
     return pa.table([pa.array([host], pa.string()), pa.array([low], pa.list_(pa.int64()))], names=["host", "low"])
@@ -288,10 +296,10 @@ def low_elements(pages: DataFrame) -> DataFrame:
     """(host, low): the elements of each host whose branches are of low importance."""
     seen = arrow_map(pages.select("host", "html"), _observe, _SCHEMA)
     counts = staged(seen.groupBy("host", "kind", "element", "other").agg(F.max("children").alias("children"), F.sum("n").alias("n"), F.sum("nlogn").alias("nlogn")), "styles")
-    shown = counts.filter("kind = 0").groupBy("host", "element").agg(F.sum("n").alias("m"))
+    shown = counts.filter("kind = 2").select("host", "element", F.col("n").alias("m"))
     entropy = F.when(F.col("m") <= 1, 0.0).otherwise((F.log("n") - F.col("nlogn") / F.col("n")) / F.log("m"))
     scores = counts.filter("kind = 1").join(shown, ["host", "element"]).groupBy("host", "element").agg((1 - F.sum(entropy * F.col("n")) / F.sum("n")).alias("score"))
-    tree = counts.filter("kind = 0").select("host", "kind", "element", "other", "children", "n", F.lit(None).cast("double").alias("score"))
+    tree = counts.filter("kind in (0, 2)").select("host", "kind", "element", "other", "children", "n", F.lit(None).cast("double").alias("score"))
     tree = tree.unionByName(scores.select("host", F.lit(1).alias("kind"), "element", F.lit(None).cast("long").alias("other"), F.lit(None).cast("array<long>").alias("children"), F.lit(None).cast("long").alias("n"), "score"))
     return tree.groupBy("host").applyInArrow(lambda key, t: _noise(key, t), "host string, low array<long>")
 

@@ -55,3 +55,14 @@ def test_edge_cases(spark):
     got = sorted((r.page_id or 0, r.host, len(r.text)) for r in st.extracted(df).collect())
     assert got == [(0, "h.example", 5), (1, "", 0), (2, "", 0), (3, "h.example", 1), (3, "h.example", 99_999)]
     assert st.extracted(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_rows_below_a_header_row_and_second_siblings_stay(spark):
+    rows = []
+    for k in range(12):
+        table = f"<table><tr><th>Name</th><th>Price</th></tr><tr><td>thing {k} a</td></tr><tr><td>thing {k} b</td></tr></table>"
+        rows.append((k, "http://t.example/", f"<body><nav><ul><li>Home</li></ul></nav>{table}<div><ul><li>Menu</li></ul></div><div><p>Story {k} of its own</p></div></body>"))
+    for r in st.extracted(spark.createDataFrame(rows, PAGES)).collect():
+        for part in (f"thing {r.page_id} a", f"thing {r.page_id} b", f"Story {r.page_id} of its own"):
+            assert part in r.text
+        assert "Home" not in r.text and "Menu" not in r.text
