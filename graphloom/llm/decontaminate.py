@@ -1,14 +1,15 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, pruned by block maxima (WAND).
 
 Test items are indexed; every passage of every text (PASSAGE words from every STRIDE-th word on, so that the
-passages overlap) is a query. A passage scores an item by the BM25 weights of the words they share, as a share of what
-the item scores for itself; all items at or above THRESHOLD are retrieved. Postings are kept in blocks of
+passages overlap) is a query. Items of more than PART words are indexed as parts of PART words that overlap by half, so
+that each part of a copy lies in one passage wherever the copy begins. A passage scores a part by the BM25 weights of the
+words they share, as a share of what the part scores for itself; all items with a part at or above THRESHOLD are retrieved. Postings are kept in blocks of
 BLOCK items of like length with the largest weight of each word in each block. Pruning is exact: only blocks
 whose maxima of the passage's words add up to the threshold are scored. SHARD items have a table of maxima of
 their own, so that its size is bounded.
 
 A hit is verified: the item's question (all sentences but the last) and answer (the last sentence; both the
-whole item if it has one sentence) must each share with the text around the passage at least VERIFY of their
+whole item if it has one sentence or if that half has no words) must each share with the text around the passage at least VERIFY of their
 word pairs.
 
 Result of ``leaks``: one row for each text and item that is verified: doc_id, item_id, start_word (of the best
@@ -33,11 +34,13 @@ from ._common import arrow_map, id_and_text, table
 from ._text import Words, buffers, chunks
 
 PASSAGE, STRIDE, BLOCK = 128, 64, 8
+#: Words of an item's part: the overlap of two passages, so that one of them holds it whole.
+PART = PASSAGE - STRIDE
 K1, B = 1.2, 0.75
 #: Floor of a word's weight, for words that half of the items have.
 LEAST = 1e-3
 THRESHOLD, VERIFY = 0.6, 0.5
-#: Items that one pass over the texts looks for, and items that one table of block maxima covers.
+#: Items' parts that one pass over the texts looks for, and parts that one table of block maxima covers.
 INDEX_ITEMS, SHARD = 16_384, 2_048
 
 
@@ -61,6 +64,11 @@ def pairs(h: np.ndarray) -> np.ndarray:
     return np.unique(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else np.unique(h)
 
 
+def cuts(n: int) -> list[int]:
+    """First words of the parts of an item of n words; the last part reaches the end."""
+    return [*range(0, max(n - PART, 0), PART // 2), max(n - PART, 0)]
+
+
 class Index:
     """Words, their postings by blocks of items, and what verification needs."""
 
@@ -71,7 +79,9 @@ class Index:
         words = [words[k] for k in keep]
         n, mean, df = stats or collection(words)
         terms, weights = [], []
-        for w in words:
+        #: the item of each part
+        self.owner = np.repeat(np.arange(len(words)), [len(cuts(len(w))) for w in words])
+        for w in (w[a : a + PART] for w in words for a in cuts(len(w))):
             t, tf = np.unique(w, return_counts=True)
             idf = np.array([max(LEAST, np.log((n - df[int(x)] + 0.5) / (df[int(x)] + 0.5))) for x in t])
             s = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
@@ -93,8 +103,7 @@ class Index:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.vocab >> np.uint64(44)] = True
         halves = [sentences(texts[k]) for k in keep]
-        self.question = [pairs(h) for h in _hashes([q for q, _ in halves])]
-        self.answer = [pairs(h) for h in _hashes([a for _, a in halves])]
+        self.question, self.answer = ([pairs(h if len(h) else w) for h, w in zip(_hashes([x[k] for x in halves]), words)] for k in (0, 1))
         self.size = np.array([len(w) for w in words])
 
     def look_up(self, h: np.ndarray) -> np.ndarray:
@@ -108,12 +117,16 @@ class Index:
         return out
 
     def search(self, terms: np.ndarray, live: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All items of the live blocks whose score for the distinct ``terms`` is at least the threshold."""
+        """All items with a part in the live blocks whose score for the distinct ``terms`` is at least the threshold, with the best."""
         start, many = self.post_start[terms], self.post_many[terms]
         at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
         at = at[live[self.post_item[at] // BLOCK]]
         scores = np.bincount(self.post_item[at], self.post_weight[at], 1)
-        return [(int(k), float(scores[k])) for k in np.flatnonzero(scores >= threshold - 1e-9)]
+        best: dict[int, float] = {}
+        for k in np.flatnonzero(scores >= threshold - 1e-9):
+            item = int(self.owner[k])
+            best[item] = max(best.get(item, 0.0), float(scores[k]))
+        return list(best.items())
 
 
 def collection(words: list[np.ndarray]) -> tuple[int, float, dict[int, int]]:
@@ -187,32 +200,43 @@ SCHEMA = "doc_id long, item_id long, start_word int, score double, question_over
 
 
 def shards(ids: list, texts: list[str], stats) -> list[Index]:
-    order = sorted(range(len(texts)), key=lambda k: len(texts[k]))
-    return [Index([ids[k] for k in order[a : a + SHARD]], [texts[k] for k in order[a : a + SHARD]], stats) for a in range(0, len(order), SHARD)]
+    many = [len(cuts(len(w))) for w in _hashes(texts)]
+    groups, room = [], 0
+    for k in sorted(range(len(texts)), key=lambda k: len(texts[k])):
+        if many[k] > room:
+            groups.append([])
+            room = SHARD
+        groups[-1].append(k)
+        room -= many[k]
+    return [Index([ids[k] for k in g], [texts[k] for k in g], stats) for g in groups]
 
 
 def indexes(items: DataFrame, limit: int = INDEX_ITEMS):
     """The index of all items in shards, or one for each part of them where there are more than ``limit``."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
-    parts = max(1, -(-items.count() // limit))
-    words = arrow_map(items.select("text"), _item_words, "h long, df long, n long")
-    size = words.filter("h is null").agg(F.sum("df"), F.sum("n")).first()
+    words = arrow_map(items.select("text"), _item_words, _WORDS)
+    size = words.filter("h is null").agg(F.sum("df"), F.sum("n"), F.sum("parts")).first()
+    parts = max(1, -(-(size[2] or 0) // limit))
     totals = words.filter("h is not null").groupBy("h").agg(F.sum("df").alias("df"))
     for k in range(parts):
         part, own = items, totals
         if parts > 1:
             part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-            own = totals.join(arrow_map(part.select("text"), _item_words, "h long, df long, n long").select("h").distinct(), "h")
+            own = totals.join(arrow_map(part.select("text"), _item_words, _WORDS).select("h").distinct(), "h")
         df = {r.h % (1 << 64): r.df for r in own.collect()}
         rows = part.orderBy("item_id", "text").collect()
         yield shards([r.item_id for r in rows], [r.text for r in rows], (size[0] or 0, (size[1] or 0) / max(size[0] or 0, 1), df))
 
 
+_WORDS = "h long, df long, n long, parts long"
+
+
 def _item_words(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Words of items with the number of items that have them; a row without word has items and words in all."""
+    """Words of items with the number of items that have them; a row without word has items, words and parts in all."""
     n, _, df = collection(words := _hashes(batch.column(0).to_pylist()))
     h = pa.array(np.fromiter(df, np.uint64, len(df)).view(np.int64).tolist() + [None], pa.int64())
-    return pa.RecordBatch.from_arrays([h, pa.array([*df.values(), n], pa.int64()), pa.array([0] * len(df) + [sum(map(len, words))], pa.int64())], ["h", "df", "n"])
+    sums = [pa.array([0] * len(df) + [x], pa.int64()) for x in (sum(map(len, words)), sum(len(cuts(len(w))) for w in words))]
+    return pa.RecordBatch.from_arrays([h, pa.array([*df.values(), n], pa.int64()), *sums], ["h", "df", "n", "parts"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, limit: int = INDEX_ITEMS) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from graphloom.llm import decontaminate as dc
 from graphloom.llm._text import words_of
@@ -82,3 +83,17 @@ def test_edge_cases(spark):
     assert dc.leaks(d, none).count() == 0 and dc.drop_leaks(d, none).count() == 5
     assert dc.leaks(spark.createDataFrame([], DOCS), i).count() == 0
     assert words_of(None) == []
+
+
+def test_long_items_at_every_offset_and_halves_without_words():
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice("klmnopqrst") for _ in range(6)) for _ in range(3000)]
+    some = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items = [" ".join(w[:-9]) + ". " + " ".join(w[-9:]) + "." for w in map(some, (150, 250, 1000))] + [" ".join(some(20)) + ". ..."]
+    index = dc.shards([0, 1, 2, 3], items, None)
+    fill = some(400)
+    rows = [(100 * k + at, " ".join([*fill[:at], item, *fill[at:]])) for k, item in enumerate(items) for at in range(65)]
+    rows.append((900, " ".join(fill)))
+    found = dc.find(index)(pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "text"]))
+    got = set(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+    assert got == {(100 * k + at, k) for k in range(4) for at in range(65)}
