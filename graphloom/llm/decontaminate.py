@@ -3,9 +3,10 @@
 Test items are indexed; every passage of every text (PASSAGE words from every STRIDE-th word on, so that the
 passages overlap) is a query. Items of more than PART words are indexed as parts of PART words that overlap by half, so
 that each part of a copy lies in one passage wherever the copy begins. A passage scores a part by the BM25 weights of the
-words they share, as a share of what the part scores for itself; all items with a part at or above THRESHOLD are retrieved. Postings are kept in blocks of
-BLOCK items of like length with the largest weight of each word in each block. Pruning is exact: only blocks
-whose maxima of the passage's words add up to the threshold are scored. SHARD items have a table of maxima of
+words they share, as a share of what the part scores for itself; all items with a part at or above THRESHOLD are retrieved. Postings are in the order of parts, in blocks
+of BLOCK parts of like length with the largest weight of each word in each block. Passages whose words' maxima add up to the threshold in
+no block are left out a batch at a time; the others run block-max WAND: cursors, pivots, skips over blocks that can't
+reach the threshold, scores for the parts that are left. Both are exact. SHARD parts have a table of maxima of
 their own, so that its size is bounded.
 
 A hit is verified: the item's question (all sentences but the last) and answer (the last sentence; both the
@@ -42,6 +43,8 @@ LEAST = 1e-3
 THRESHOLD, VERIFY = 0.6, 0.5
 #: Items' parts that one pass over the texts looks for, and parts that one table of block maxima covers.
 INDEX_ITEMS, SHARD = 16_384, 2_048
+#: Passages whose cursors move together.
+AT_ONCE = 1024
 
 
 def sentences(text: str) -> tuple[str, str]:
@@ -95,10 +98,12 @@ class Index:
         order = np.lexsort((item, flat))
         self.post_item, self.post_weight = item[order], weight[order]
         self.post_start = np.searchsorted(flat[order], np.arange(len(self.vocab) + 1))
-        self.post_many = np.diff(self.post_start)
+        #: postings by (word, part) as one number, for cursors that skip; each word's largest weight
+        self.post_key = flat[order] * (len(terms) + 1) + self.post_item
         # largest weight of each word in each block of items
         self.maxima = np.zeros((len(self.vocab), -(-len(terms) // BLOCK)), np.float32)
         np.maximum.at(self.maxima, (flat, item // BLOCK), weight.astype(np.float32))
+        self.top = self.maxima.max(axis=1) if len(terms) else np.zeros(0, np.float32)
         # a bit map by 20 bits of the hash keeps most words out of the exact look-up
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.vocab >> np.uint64(44)] = True
@@ -116,17 +121,65 @@ class Index:
             out[may[hit]] = k[hit]
         return out
 
-    def search(self, terms: np.ndarray, live: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All items with a part in the live blocks whose score for the distinct ``terms`` is at least the threshold, with the best."""
-        start, many = self.post_start[terms], self.post_many[terms]
-        at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        at = at[live[self.post_item[at] // BLOCK]]
-        scores = np.bincount(self.post_item[at], self.post_weight[at], 1)
-        best: dict[int, float] = {}
-        for k in np.flatnonzero(scores >= threshold - 1e-9):
-            item = int(self.owner[k])
-            best[item] = max(best.get(item, 0.0), float(scores[k]))
-        return list(best.items())
+    def search(self, terms: np.ndarray, bounds: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, part, score) of all parts that reach the threshold, by block-max WAND.
+
+        Passage k has the distinct words terms[bounds[k]:bounds[k + 1]]. Its cursors, one for each word's postings, stand
+        in the order of parts. The pivot is the first part where the largest weights of the words that stand up to
+        it add up to the threshold. If those of the pivot's block do too, the cursors before it skip to it and it
+        is scored; if not, they skip past the block, or to the next cursor behind the pivot. All passages take
+        their steps together, so a step is a few numpy calls."""
+        many = np.diff(bounds)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        order = np.argsort(many, kind="stable")  # passages of about as many words share a table
+        for group in (order[k : k + AT_ONCE] for k in range(0, len(order), AT_ONCE)):
+            width = int(many[group].max())
+            if width:
+                place = bounds[group][:, None] + np.arange(width)
+                word = np.where(np.arange(width) < many[group][:, None], terms[np.minimum(place, len(terms) - 1)], -1)
+                out += self._wand(group, word, threshold)
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    def _wand(self, passage: np.ndarray, word: np.ndarray, threshold: float):
+        """Steps of the passages (rows of words, -1 for none) until none has a pivot any more."""
+        parts, low = len(self.owner), threshold - 1e-4
+        kind = np.uint16 if parts < 65_535 else np.int64
+        item_at, weight_at, key = np.append(self.post_item, parts).astype(kind), np.append(self.post_weight, 0.0), self.post_key
+        last = self.post_start[word + 1]
+        at = np.where(word < 0, len(self.post_item), self.post_start[word])
+        top = np.where(word < 0, 0.0, self.top[word]).astype(np.float32)
+        item = item_at[at]
+        while len(passage):
+            order = np.argsort(item, axis=1, kind="stable")
+            found = np.cumsum(np.take_along_axis(top, order, 1), axis=1) >= low
+            rows = np.arange(len(passage))
+            where = found.argmax(axis=1)
+            pivot = item[rows, order[rows, where]].astype(np.int64)
+            go = found[rows, where] & (pivot < parts)
+            if not go.all():
+                passage, word, last, at, top, item, pivot = (x[go] for x in (passage, word, last, at, top, item, pivot))
+                rows = np.arange(len(passage))
+                if not len(passage):
+                    break
+            upto = item <= pivot[:, None]
+            block = pivot // BLOCK
+            deep = np.where(upto, self.maxima[word, block[:, None]], np.float32(0)).sum(axis=1) >= low
+            behind = np.where(upto, parts, item).min(axis=1).astype(np.int64)
+            target = np.where(deep, pivot, np.minimum((block + 1) * BLOCK, behind))
+            move = upto & (item < target[:, None])
+            r, c = np.nonzero(move)
+            to = np.searchsorted(key, word[r, c] * (parts + 1) + target[r])
+            at[r, c] = to
+            item[r, c] = np.where(to < last[r, c], item_at[to], parts)
+            hit = deep[:, None] & (item == pivot[:, None])
+            score = np.where(hit, weight_at[at], 0.0).sum(axis=1)
+            some = deep & (score >= threshold - 1e-9)
+            if some.any():
+                yield passage[some], pivot[some], score[some]
+            r, c = np.nonzero(hit)
+            to = at[r, c] + 1
+            at[r, c] = to
+            item[r, c] = np.where(to < last[r, c], item_at[to], parts)
 
 
 def collection(words: list[np.ndarray]) -> tuple[int, float, dict[int, int]]:
@@ -178,16 +231,23 @@ def find(shards: list[Index], threshold: float = THRESHOLD, verify: float = VERI
             for index in shards:
                 term = index.look_up(w.hash)
                 live = upper_bounds(index, term, w, start) >= threshold - 1e-4
-                for p in np.flatnonzero(live.any(axis=1)):
+                hot = np.flatnonzero(live.any(axis=1))
+                words = [np.unique(term[start[p] : end[p]]) for p in hot]
+                words = [x[np.searchsorted(x, 0) :] for x in words]
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64)
+                row, part, score = index.search(np.concatenate(words) if words else np.zeros(0, np.int64), bounds, threshold)
+                best: dict[tuple[int, int], float] = {}
+                for k, item, x in zip(row.tolist(), index.owner[part].tolist(), score.tolist()):
+                    best[k, item] = max(best.get((k, item), 0.0), x)
+                for (k, item), x in best.items():
+                    p = hot[k]
                     s, e, t = int(start[p]), int(end[p]), int(text[p])
-                    terms = np.unique(term[s:e])
-                    for item, score in index.search(terms[terms >= 0], live[p], threshold):
-                        reach = int(index.size[item])
-                        a, b = max(int(w.first[t]), s - reach), min(int(w.first[t + 1]), e + reach)
-                        near = np.union1d(pairs(w.hash[a:b]), w.hash[a:b])
-                        q, r = (float(np.isin(x, near).mean()) for x in (index.question[item], index.answer[item]))
-                        if q >= verify and r >= verify:
-                            out.append((ids[i + t].as_py(), index.ids[item], s - int(w.first[t]), round(score, 6), round(q, 6), round(r, 6)))
+                    reach = int(index.size[item])
+                    a, b = max(int(w.first[t]), s - reach), min(int(w.first[t + 1]), e + reach)
+                    near = np.union1d(pairs(w.hash[a:b]), w.hash[a:b])
+                    q, r = (float(np.isin(y, near).mean()) for y in (index.question[item], index.answer[item]))
+                    if q >= verify and r >= verify:
+                        out.append((ids[i + t].as_py(), index.ids[item], s - int(w.first[t]), round(x, 6), round(q, 6), round(r, 6)))
         cols = list(zip(*out)) or [[]] * 6
         types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
         names = ["doc_id", "item_id", "start_word", "score", "question_overlap", "answer_overlap"]

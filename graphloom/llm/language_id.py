@@ -5,12 +5,13 @@ byte, filters of several widths over them, the maximum of each filter over the w
 softmax. The windows' log-probabilities, weighed by their bytes, add up to the text's.
 
 Training uses a bounded sample of labelled texts: PER_LANG texts of each language (by order of a hash of their
-id), WINDOWS windows spread over each. Languages are those of the labels.
+id), WINDOWS windows spread over each. Languages are all those of the labels; the network has FILTERS filters of
+each width, and one more for every second language beyond twice as many.
 
 Result of ``identified``: one row for each row of the input: doc_id, lang_pred, confidence (probability of
 lang_pred), windows.
 
-Defined cases: a null, empty or blank text has lang_pred null, confidence 0 and no windows; without labelled
+Defined cases: a null, empty or blank text (white space alone, line ends and tabs too) has lang_pred null, confidence 0 and no windows; without labelled
 texts all have; a null doc_id stays null; rows are judged one by one, repeated rows alike; of equal
 probabilities the alphabetically first language wins.
 """
@@ -26,10 +27,13 @@ from ._common import arrow_map, table
 from ._text import buffers
 
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
-#: Bounds of the training sample: texts of each language, windows of each text, languages.
-PER_LANG, WINDOWS, LANGUAGES = 300, 4, 200
+#: Bounds of the training sample: texts of each language, windows of each text.
+PER_LANG, WINDOWS = 300, 4
+BROADCAST_ROWS = 200_000
 EPOCHS, BATCH, RATE = 6, 32, 4e-3
 _WIDE = max(WIDTHS)
+#: A text that isn't blank: white space is Unicode's.
+SOMETHING = r"(?U)\S"
 #: Windows that go through the network at once.
 AT_ONCE = 64
 
@@ -39,13 +43,14 @@ class Net:
 
     def __init__(self, languages: list[str], seed: int = 0):
         rng = np.random.default_rng(seed)
-        n = FILTERS * len(WIDTHS)
+        each = max(FILTERS, len(languages) // 2)
+        n = each * len(WIDTHS)
         self.languages = languages
         self.E = rng.normal(0, 0.5, (256, DIM)).astype(np.float32)
         self.E[0] = 0
         self.mask = np.zeros((_WIDE * DIM, n), np.float32)
         for k, w in enumerate(WIDTHS):
-            self.mask[: w * DIM, k * FILTERS : (k + 1) * FILTERS] = 1
+            self.mask[: w * DIM, k * each : (k + 1) * each] = 1
         self.K = (rng.normal(0, 0.3, self.mask.shape) * self.mask).astype(np.float32)
         self.b = np.zeros(n, np.float32)
         self.U = rng.normal(0, 0.1, (n, len(languages))).astype(np.float32)
@@ -163,11 +168,12 @@ def _predict(net: Net | None):
 def train(docs: DataFrame) -> Net | None:
     """A network for the labelled texts (column lang), or None without any."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)).alias("h"))
-    rows = rows.filter("lang is not null and text is not null and trim(text) != ''")
-    few = rows.select("lang").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    ids = rows.select("lang", "h").join(F.broadcast(few), "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(f"k <= {PER_LANG}").select("lang", "h")
+    rows = rows.filter("lang is not null and text is not null").filter(F.col("text").rlike(SOMETHING))
+    ids = rows.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(f"k <= {PER_LANG}").select("lang", "h")
     piece = WINDOW * WINDOWS
-    got = rows.join(F.broadcast(ids), ["lang", "h"], "left_semi").select("lang", "h", F.concat(*[F.substring("text", F.greatest(F.lit(1), F.floor(F.length("text") * (k / WINDOWS)) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS)]).substr(1, piece).alias("text"))
+    # the sample's keys are broadcast where their number, PER_LANG for each language at most, is small
+    few = rows.select("lang").distinct().count() * PER_LANG <= BROADCAST_ROWS
+    got = rows.join(F.broadcast(ids) if few else ids, ["lang", "h"], "left_semi").select("lang", "h", F.concat(*[F.substring("text", F.greatest(F.lit(1), F.floor(F.length("text") * (k / WINDOWS)) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS)]).substr(1, piece).alias("text"))
     sample = got.orderBy("lang", "h").collect()
     if not sample:
         return None
@@ -184,7 +190,7 @@ def train(docs: DataFrame) -> Net | None:
 def identified(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     net = train(docs if labelled is None else labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("blank_free", F.coalesce(F.trim("text") != "", F.lit(False)))
+    rows = rows.withColumn("blank_free", F.coalesce(F.col("text").rlike(SOMETHING), F.lit(False)))
     return arrow_map(rows, _predict(net), "doc_id long, lang_pred string, confidence double, windows int")
 
 

@@ -9,8 +9,8 @@ Result of ``sniffed``: one row for each blob and file found in it: id, part (0:
 files by offset), declared, detected, corrected (detected differs from declared), offset, length, valid (the
 structure covers the blob to its end, for part 0; true for carved files), sha256 of the bytes.
 
-Defined cases: a null or empty blob has one row with detected null and length 0; a null declared type is
-never "corrected" to null; types are compared without parameters and by their usual aliases; truncated or
+Defined cases: a null or empty blob has one row with detected null, length 0 and corrected false; where
+no type was declared, the detected one counts as a correction; types are compared without parameters and by their usual aliases; truncated or
 damaged files are refused, so such a blob is of unknown type (application/octet-stream); rows with one id are
 separate blobs; all of a blob is searched, at any length.
 """
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from ._common import arrow_map, table
 
-TYPES = {"png": "image/png", "gif": "image/gif", "jpeg": "image/jpeg", "bmp": "image/bmp", "wav": "audio/wav", "webp": "image/webp", "avi": "video/x-msvideo", "zip": "application/zip", "pdf": "application/pdf", "gzip": "application/gzip", "mp4": "video/mp4", "flac": "audio/flac", "ogg": "application/ogg", "mp3": "audio/mpeg", "tiff": "image/tiff"}
+TYPES = {"png": "image/png", "gif": "image/gif", "jpeg": "image/jpeg", "bmp": "image/bmp", "wav": "audio/wav", "webp": "image/webp", "avi": "video/x-msvideo", "zip": "application/zip", "pdf": "application/pdf", "gzip": "application/gzip", "mp4": "video/mp4", "flac": "audio/flac", "ogg": "application/ogg", "mp3": "audio/mpeg", "mpeg": "audio/mpeg", "tiff": "image/tiff"}
 ALIASES = {"image/jpg": "image/jpeg", "image/pjpeg": "image/jpeg", "audio/x-wav": "audio/wav", "audio/wave": "audio/wav", "image/x-ms-bmp": "image/bmp", "application/x-gzip": "application/gzip", "audio/mp3": "audio/mpeg", "image/x-png": "image/png"}
 #: (magic bytes, format, offset of the magic bytes in the file)
-MAGIC = [(b"\x89PNG\r\n\x1a\n", "png", 0), (b"GIF87a", "gif", 0), (b"GIF89a", "gif", 0), (b"\xff\xd8\xff", "jpeg", 0), (b"BM", "bmp", 0), (b"RIFF", "riff", 0), (b"PK\x03\x04", "zip", 0), (b"PK\x05\x06", "zip", 0), (b"%PDF-", "pdf", 0), (b"\x1f\x8b\x08", "gzip", 0), (b"ftyp", "mp4", 4), (b"fLaC", "flac", 0), (b"OggS", "ogg", 0), (b"ID3", "mp3", 0), (b"II*\x00", "tiff", 0), (b"MM\x00*", "tiff", 0)]
+MAGIC = [(b"\x89PNG\r\n\x1a\n", "png", 0), (b"GIF87a", "gif", 0), (b"GIF89a", "gif", 0), (b"\xff\xd8\xff", "jpeg", 0), (b"BM", "bmp", 0), (b"RIFF", "riff", 0), (b"PK\x03\x04", "zip", 0), (b"PK\x05\x06", "zip", 0), (b"%PDF-", "pdf", 0), (b"\x1f\x8b\x08", "gzip", 0), (b"ftyp", "mp4", 4), (b"fLaC", "flac", 0), (b"OggS", "ogg", 0), (b"ID3", "mp3", 0), (b"\xff\xfb", "mpeg", 0), (b"\xff\xfa", "mpeg", 0), (b"II*\x00", "tiff", 0), (b"MM\x00*", "tiff", 0)]
 
 
 def png(b: bytes, at: int) -> int:
@@ -78,7 +78,9 @@ def jpeg(b: bytes, at: int) -> int:
     while p + 4 <= len(b) and b[p] == 0xFF:
         while p + 1 < len(b) and b[p + 1] == 0xFF:
             p += 1
-        m = b[p + 1] if p + 1 < len(b) else 0
+        if p + 4 > len(b):  # the fill bytes led to the end
+            break
+        m = b[p + 1]
         if m == 0xD9:
             return p + 2 - at if frame else 0
         if m in (0x01, *range(0xD0, 0xD8)):
@@ -162,12 +164,16 @@ def pdf(b: bytes, at: int) -> int:
 
 
 def gzip(b: bytes, at: int) -> int:
-    d = zlib.decompressobj(31)
-    try:
-        d.decompress(b[at:])
+    d, p, view = zlib.decompressobj(31), at, memoryview(b)
+    try:  # in pieces, so that a false hit costs no copy and a bomb no memory
+        while p < len(b) and not d.eof:
+            rest, p = view[p : p + 65_536], p + 65_536
+            while len(rest) and not d.eof:
+                d.decompress(rest, 1 << 20)
+                rest = d.unconsumed_tail
     except zlib.error:
         return 0
-    return len(b) - at - len(d.unused_data) if d.eof else 0
+    return min(p, len(b)) - at - len(d.unused_data) if d.eof else 0
 
 
 def mp4(b: bytes, at: int) -> int:
@@ -183,29 +189,92 @@ def mp4(b: bytes, at: int) -> int:
     return p - at if b"ftyp" in kinds and kinds & {b"moov", b"moof", b"mdat", b"meta"} else 0
 
 
+def _crc_tables() -> tuple[list[int], list[int]]:
+    """CRC-8 (polynomial 7) and CRC-16 (0x8005) by byte."""
+    eight, sixteen = [], []
+    for c in range(256):
+        a, d = c, c << 8
+        for _ in range(8):
+            a = (a << 1 ^ (7 if a & 128 else 0)) & 255
+            d = (d << 1 ^ (0x8005 if d & 0x8000 else 0)) & 0xFFFF
+        eight.append(a)
+        sixteen.append(d)
+    return eight, sixteen
+
+
+_CRC8, _CRC16 = _crc_tables()
+
+
+def _flac_frame(b: bytes, p: int) -> int:
+    """Samples of the frame whose header starts at p, 0 without a sound header."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8:
+        return 0
+    size, rate, lead = b[p + 2] >> 4, b[p + 2] & 15, b[p + 4]
+    if not size or rate == 15 or b[p + 3] >> 4 > 10 or b[p + 3] & 1 or 0x80 <= lead < 0xC0 or lead == 0xFF:
+        return 0
+    q = p + 5 + (0 if lead < 0x80 else f"{lead:08b}".index("0") - 1)
+    more = {6: 1, 7: 2}.get(size, 0)
+    end = q + more + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if end >= len(b):
+        return 0
+    c = 0
+    for x in b[p:end]:
+        c = _CRC8[c ^ x]
+    if c != b[end]:
+        return 0
+    if more:
+        return int.from_bytes(b[q : q + more], "big") + 1
+    return 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+
+
 def flac(b: bytes, at: int) -> int:
-    p, first = at + 4, True
+    """Metadata blocks, then frames, each with its header's CRC-8 and its CRC-16, up to STREAMINFO's samples.
+
+    A frame ends where its CRC-16 comes out and the next frame's header follows; the last one, or each where the number of samples is not
+    known, where it comes out first beyond the least size of a frame."""
+    p, total, least = at + 4, 0, 0
     while p + 4 <= len(b):
         kind, n = b[p] & 127, int.from_bytes(b[p + 1 : p + 4], "big")
-        if (first and (kind, n) != (0, 34)) or kind == 127 or p + 4 + n > len(b):
+        if (p == at + 4 and (kind, n) != (0, 34)) or kind == 127 or p + 4 + n > len(b):
             return 0
-        last, p, first = b[p] & 128, p + 4 + n, False
+        if p == at + 4:
+            least = int.from_bytes(b[p + 8 : p + 11], "big")
+            total = int.from_bytes(b[p + 17 : p + 22], "big") & ((1 << 36) - 1)
+        last, p = b[p] & 128, p + 4 + n
         if last:
-            return len(b) - at if b[p : p + 1] == b"\xff" and len(b) > p + 1 and b[p + 1] & 0xFC == 0xF8 else 0
-    return 0
+            break
+    else:
+        return 0
+    done = 0
+    while (many := _flac_frame(b, p)) and (not total or done < total):
+        done, crc, q, end = done + many, 0, p, 0
+        low = p + max(least, 9)
+        while q < len(b) and not end:
+            crc = ((crc << 8) & 0xFF00) ^ _CRC16[(crc >> 8) ^ b[q]]
+            q += 1
+            if not crc and q >= low and (_flac_frame(b, q) or (done >= total)):
+                end = q
+        if not end:
+            return 0
+        p = end
+    return p - at if done and done >= total else 0
 
 
-def ogg(b: bytes, at: int) -> int:
-    p = at
+def ogg(b: bytes, at: int, dead: set[int]) -> int:
+    """Pages in a row. The pages of a row that broke off are noted, so that it isn't followed from each of them again."""
+    p, seen = at, []
     while b[p : p + 5] == b"OggS\x00" and p + 27 <= len(b):
         n = b[p + 26]
         body = sum(b[p + 27 : p + 27 + n])
-        if p + 27 + n + body > len(b) or len(b) < p + 27 + n:
+        if p in dead or p + 27 + n + body > len(b) or len(b) < p + 27 + n:
+            dead.update(seen)
             return 0
+        seen.append(p)
         p += 27 + n + body
     return p - at
 
 
+LEAST_FRAMES = 4
 _RATES = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
 
 
@@ -213,6 +282,18 @@ def mp3(b: bytes, at: int) -> int:
     if at + 10 > len(b) or b[at + 3] > 4 or any(x & 128 for x in b[at + 6 : at + 10]):
         return 0
     p = at + 10 + sum((x & 127) << s for x, s in zip(b[at + 6 : at + 10], (21, 14, 7, 0)))
+    end, frames = _frames(b, p)
+    return end - at if frames else 0
+
+
+def mpeg(b: bytes, at: int) -> int:
+    """MPEG-1 layer III frames without a tag: LEAST_FRAMES at least, since a sync word alone is found in any data."""
+    end, frames = _frames(b, at)
+    return end - at if frames >= LEAST_FRAMES else 0
+
+
+def _frames(b: bytes, p: int) -> tuple[int, int]:
+    """(end, number) of the frames in a row from p on."""
     frames = 0
     while p + 4 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFE == 0xFA:
         rate, hz, pad = b[p + 2] >> 4, (b[p + 2] >> 2) & 3, (b[p + 2] >> 1) & 1
@@ -222,7 +303,7 @@ def mp3(b: bytes, at: int) -> int:
         if p + n > len(b):
             break
         p, frames = p + n, frames + 1
-    return p - at if frames else 0
+    return p, frames
 
 
 def tiff(b: bytes, at: int) -> int:
@@ -259,7 +340,7 @@ def tiff(b: bytes, at: int) -> int:
     return end if at + end <= len(b) else 0
 
 
-CHECKS = {"png": png, "gif": gif, "jpeg": jpeg, "bmp": bmp, "riff": riff, "zip": pkzip, "pdf": pdf, "gzip": gzip, "mp4": mp4, "flac": flac, "ogg": ogg, "mp3": mp3, "tiff": tiff}
+CHECKS = {"png": png, "gif": gif, "jpeg": jpeg, "bmp": bmp, "riff": riff, "zip": pkzip, "pdf": pdf, "gzip": gzip, "mp4": mp4, "flac": flac, "ogg": ogg, "mp3": mp3, "mpeg": mpeg, "tiff": tiff}
 _RIFF = {b"WAVE": "wav", b"WEBP": "webp", b"AVI ": "avi"}
 _MACHINE = None
 
@@ -282,10 +363,14 @@ def files(blob: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, format) of all valid files, outermost first, that lie in no other but one that starts at 0."""
     hits = sorted({(end + 1 - size - back, kind) for end, (kind, back, size) in machine().iter(blob.decode("latin-1"))})
     out, reach = [], 0
+    dead: set[int] = set()
     for at, kind in hits:
         if at < 0 or (at < reach and at):
             continue
-        n = CHECKS[kind](blob, at)
+        try:
+            n = CHECKS[kind](blob, at, dead) if kind == "ogg" else CHECKS[kind](blob, at)
+        except (struct.error, IndexError):  # a header that the blob's end cuts off
+            n = 0
         if n > 0:
             out.append((at, n, _RIFF[blob[at + 8 : at + 12]] if kind == "riff" else kind))
             reach = at + n if at else 0

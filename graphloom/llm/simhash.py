@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, id_and_text, staged, table
+from ._common import arrow_map, discard, fresh, id_and_text, staged, table
 from ._text import Words, buffers, chunks, mix
 
 #: Bits of the word signature within which two texts are candidates, and of the pair signature that confirm it.
@@ -292,7 +292,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct()
-        now = staged(small, "links")
+        last, now = now, staged(small, "links")
+        discard(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == size:
             break
@@ -323,8 +324,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIR
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that are near copies of another with a smaller doc_id; all columns stay."""
-    gone = near_duplicates(docs).filter("doc_id != group_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    key = fresh(docs, "gone")
+    gone = near_duplicates(docs).filter("doc_id != group_id").select(F.col("doc_id").alias(key))
+    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

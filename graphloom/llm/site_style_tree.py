@@ -21,8 +21,8 @@ entropies are sums that Spark aggregates before a host's tree is put together.
 Result of ``extracted``: one row for each page: page_id, host, text, removed (branches that were cut).
 
 Defined cases: a null or empty page gives an empty text; a null or unreadable url is the host "" (pages without
-host are merged with each other); unclosed, stray or deeply nested tags are repaired or skipped, beyond DEPTH
-levels the children count to their ancestor; rows of one page_id are separate pages; text in no element
+host are merged with each other); unclosed and stray tags are repaired or skipped, at any depth; a quote that is
+never closed ends quoting for the rest of its page, and what follows a tag that is never closed is text; rows of one page_id are separate pages; text in no element
 belongs to the page's root; a host with one page keeps all its branches.
 """
 
@@ -30,21 +30,26 @@ from __future__ import annotations
 
 import html as htmllib
 import re
-import zlib
+from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, staged, table
 
-GAMMA, CUT, DEPTH = 0.9, 0.75, 60
+GAMMA, CUT = 0.9, 0.75
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _SILENT = {"script", "style", "noscript", "template", "head", "title"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn", "em", "font", "i", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "u", "var", "br", "wbr", "img"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_RAW = {"script", "style", "noscript", "template"}
+#: A tag with its name and attributes; none of the parts gives back what it took, so a match costs its length at most.
+_TAG = re.compile(r"""<(/?+)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_LOOSE = re.compile(r"<(/?+)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in _RAW}
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 
@@ -60,33 +65,77 @@ class Node:
         self.path = 0
 
 
+def _after(page: str, what: str, at: int) -> int:
+    """The place behind the next ``what``, or the page's end."""
+    found = page.find(what, at)
+    return len(page) if found < 0 else found + len(what)
+
+
+def _tags(page: str):
+    """(start, end, match or None) of the page's tags and of what is left out, in one pass.
+
+    Only the first tag whose quotes don't close costs a look at the rest of the page: quotes mean nothing from
+    there on. A tag that doesn't close ends the pass, for then no ``>`` is left."""
+    at, pattern = 0, _TAG
+    while (at := page.find("<", at)) >= 0:
+        sign = page[at + 1 : at + 2]
+        if sign in ("!", "?") and sign:
+            end = _after(page, "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">", at + 2 + 2 * page.startswith("<!--", at))
+            yield at, end, None
+            at = end
+            continue
+        name = page[at + 2 : at + 3] if sign == "/" else sign
+        if not (name.isascii() and name.isalpha()):
+            at += 1
+            continue
+        m = pattern.match(page, at)
+        if not m and pattern is _TAG:
+            pattern = _LOOSE
+            m = pattern.match(page, at)
+        if not m:
+            return
+        end = m.end()
+        if not m[1] and (raw := m[2].lower()) in _RAW:
+            close = _END[raw].search(page, end)
+            end = close.end() if close else len(page)
+            m = None
+        yield at, end, m
+        at = end
+
+
 def parse(page: str) -> Node:
-    """The page's elements; scripts, comments and declarations are left out. Never fails."""
+    """The page's elements; scripts, comments and declarations are left out. Takes time in proportion to the page's
+    length, whatever it holds."""
     root = Node("", "")
-    stack, at = [root], 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m.group(3)
-        if not tag:
+    # for each open element the number of the innermost block around it, and how many of each tag are open
+    stack, block, opened, at = [root], [0], Counter(), 0
+
+    def close(k: int) -> None:
+        for n in stack[k:]:
+            opened[n.tag] -= 1
+        del stack[k:], block[k:]
+
+    for start, end, m in _tags(page):
+        if start > at:
+            stack[-1].parts.append(page[at:start])
+        at = end
+        if m is None:
             continue
-        tag = tag.lower()
-        if m.group(2):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        tag, raw = m[2].lower(), m[3]
+        if m[1]:
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         top = stack[-1].tag
         if top in _CLOSES.get(tag, ()) or (top == "p" and tag in _ENDS_P):
-            stack.pop()
-        elif tag in _ENDS_P and any(n.tag == "p" for n in stack[1:]):
-            k = max(i for i, n in enumerate(stack) if n.tag == "p")
-            if all(n.tag in _INLINE or n.tag == "p" for n in stack[k:]):
-                del stack[k:]
-        raw, key, links = m.group(4), tag, []
-        if raw and len(raw) > 1:
+            close(len(stack) - 1)
+        elif tag in _ENDS_P and stack[block[-1]].tag == "p":
+            close(block[-1])
+        key, links = tag, []
+        if len(raw) > 1:
             attrs = {a.lower(): v.strip("\"'") for a, v in _ATTR.findall(raw)}
             key = f"{tag}.{attrs.get('class', '')}#{attrs.get('id', '')}"
             links = [f"{a}={attrs[a]}" for a in ("href", "src", "alt") if a in attrs]
@@ -94,16 +143,17 @@ def parse(page: str) -> Node:
         node.links = links
         stack[-1].children.append(node)
         stack[-1].parts.append(node)
-        if tag not in _VOID and not (raw and raw.endswith("/")) and len(stack) < DEPTH:
+        if tag not in _VOID and not raw.endswith("/"):
+            block.append(block[-1] if tag in _INLINE else len(stack))
             stack.append(node)
+            opened[tag] += 1
     if at < len(page):
         stack[-1].parts.append(page[at:])
     return root
 
 
 def _hash(*parts) -> int:
-    s = "\x1f".join(map(str, parts)).encode("utf-8", "replace")
-    h = (zlib.crc32(s) << 32) | zlib.adler32(s[::-1] + s)
+    h = xxhash.xxh64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "replace"))
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
@@ -151,7 +201,6 @@ _SCHEMA = "host string, kind int, element long, other long, children array<long>
 
 def _observe(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Counts of a batch: elements' styles (kind 0), features by page (kind 1) and pages of elements (kind 2)."""
-    from collections import Counter
     from math import log
 
     styles: Counter = Counter()

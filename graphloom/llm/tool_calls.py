@@ -17,7 +17,10 @@ left out; of several results of a call the first by turn, then content, counts;
 identifier the first by turn, name and arguments counts, the others get the problem "repeated id" and no
 position; a call that needs an unknown call has the problem "needs unknown call", one on or behind a circle
 "circular" and no position; null or broken arguments are invalid and serialised as null; a tool without schema is
-"unknown tool"; calls with a null conv_id or call_id are kept, never linked and without position.
+"unknown tool"; calls with a null conv_id or call_id are kept, never linked and without position (those without
+conv_id are rows of their own and meet in no group). NaN and infinite numbers are not JSON; values nested deeper than
+DEPTH are "nested too deeply" and serialised as null; half surrogates stay escaped; a schema that isn't JSON, or not a
+schema, is the problem "schema: not usable"; a schema that is true allows, one that is false refuses, everything.
 """
 
 from __future__ import annotations
@@ -25,25 +28,67 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, table
+from ._common import arrow_map, staged, table
 
+#: Levels of nested arguments that are read.
+DEPTH = 256
 SCHEMA = "conv_id long, call_id string, name string, position int, answered boolean, valid boolean, problem string, json string"
 
 
+def _text(value) -> str:
+    """A scalar as JSON; what UTF-8 can't carry stays escaped."""
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False, allow_nan=False))
+
+
+_HALF = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    """Canonical JSON of a parsed value."""
+    """Canonical JSON of a parsed value; ValueError for a number that isn't finite."""
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(str(k), ensure_ascii=False)}:{canonical(value[k])}" for k in sorted(value)) + "}"
+        return "{" + ",".join(f"{_text(str(k))}:{canonical(value[k])}" for k in sorted(value)) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
         return str(int(value))
-    return json.dumps(value, ensure_ascii=False)
+    return _text(value)
+
+
+def depth_of(value) -> int:
+    """Levels of arrays and objects, at most one beyond DEPTH."""
+    level, depth = [value], 0
+    while level and depth <= DEPTH:
+        level = [x for v in level for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())]
+        depth += 1
+    return depth
+
+
+def _refuse(word: str):
+    raise ValueError(word)
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    return value if math.isfinite(value) else _refuse(text)
+
+
+def parsed(text: str | None) -> tuple[object, str | None]:
+    """(value, problem) of a JSON text; the value is None where there is a problem."""
+    if text is None:
+        return None, None
+    try:
+        value = json.loads(text, parse_constant=_refuse, parse_float=_number)
+    except RecursionError:
+        return None, "nested too deeply"
+    except ValueError:
+        return None, "not JSON"
+    return (None, "nested too deeply") if depth_of(value) > DEPTH else (value, None)
 
 
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -52,12 +97,35 @@ _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null":
 def _is(value, kind: str) -> bool:
     if kind in ("number", "integer"):
         number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        return number and (kind == "number" or float(value).is_integer())
+        return number and (kind == "number" or isinstance(value, int) or value.is_integer())
     return kind in _KINDS and isinstance(value, _KINDS[kind])
 
 
-def problem_of(value, schema: dict, at: str = "arguments") -> str | None:
-    """The first thing that the schema doesn't allow."""
+def usable(schema) -> bool:
+    """The keywords that are read have values of the kinds that JSON schema gives them, at all levels."""
+    todo = [schema]
+    while todo:
+        s = todo.pop()
+        if isinstance(s, bool):
+            continue
+        if not isinstance(s, dict):
+            return False
+        kinds, fields, more = s.get("type", []), s.get("properties", {}), s.get("additionalProperties", True)
+        names = s.get("required", [])
+        if not (isinstance(kinds, str) or isinstance(kinds, list) and all(isinstance(k, str) for k in kinds)):
+            return False
+        if not isinstance(fields, dict) or not isinstance(names, list) or not all(isinstance(n, str) for n in names):
+            return False
+        if not isinstance(s.get("enum", []), list) or not all(_is(s[k], "number") for k in ("minimum", "maximum", "minLength", "maxLength") if k in s):
+            return False
+        todo += [*fields.values(), more, *([s["items"]] if "items" in s else [])]
+    return True
+
+
+def problem_of(value, schema, at: str = "arguments") -> str | None:
+    """The first thing that a usable schema doesn't allow."""
+    if isinstance(schema, bool):
+        return None if schema else f"{at}: not allowed"
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in (kinds if isinstance(kinds, list) else [kinds])):
         return f"{at}: not {kinds if isinstance(kinds, str) else ' or '.join(kinds)}"
@@ -70,12 +138,12 @@ def problem_of(value, schema: dict, at: str = "arguments") -> str | None:
                 return f"{at}: {name} is missing"
         for name in sorted(value):
             more = schema.get("additionalProperties", True)
-            if name in fields or isinstance(more, dict):
+            if name in fields or isinstance(more, dict) or more is True:
                 if found := problem_of(value[name], fields.get(name, more), f"{at}.{name}"):
                     return found
-            elif not more:
+            else:
                 return f"{at}: {name} is not known"
-    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+    if isinstance(value, list) and "items" in schema:
         for k, x in enumerate(value):
             if found := problem_of(x, schema["items"], f"{at}[{k}]"):
                 return found
@@ -115,57 +183,89 @@ def positions(calls: list[tuple[str, tuple, list[str]]]) -> dict[str, int]:
     return out
 
 
-def _order(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows = []
-    schemas: dict[str, dict] = {}
-    for conv, calls in zip(batch.column("conv_id").to_pylist(), batch.column("calls").to_pylist()):
-        calls.sort(key=lambda c: (c["turn"] is None, c["turn"] or 0, c["call_id"] or "", c["name"] or "", c["arguments"] or ""))
-        first: dict[str, int] = {}
-        for k, c in enumerate(calls):
-            if conv is not None and c["call_id"] is not None:
-                first.setdefault(c["call_id"], k)
-        place = positions([(i, (k,), calls[k]["needs"] or []) for i, k in first.items()])
-        for k, c in enumerate(calls):
-            own, found, value = first.get(c["call_id"]) == k, None, None
-            try:
-                value = json.loads(c["arguments"]) if c["arguments"] is not None else None
-            except ValueError:
-                found = "arguments: not JSON"
-            if c["schema"] is None:
-                found = found or "unknown tool"
-            elif not found:
-                if c["schema"] not in schemas:
-                    schemas[c["schema"]] = json.loads(c["schema"])
-                found = problem_of(value, schemas[c["schema"]])
-            valid = found is None
-            if conv is None or c["call_id"] is None:
-                found = found or "no id"
-            elif not own:
-                found = found or "repeated id"
-            elif any(n not in first for n in c["needs"] or []):
-                found = found or "needs unknown call"
-            elif c["call_id"] not in place:
-                found = found or "circular"
-            linked = own and c["answered"]
-            text = canonical({"arguments": value, "id": c["call_id"], "name": c["name"], "result": c["content"] if linked else None})
-            rows.append((conv, c["call_id"], c["name"], place.get(c["call_id"]) if own else None, bool(linked), valid, found, text))
-    types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.string()]
-    cols = list(zip(*rows)) or [[]] * 8
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["conv_id", "call_id", "name", "position", "answered", "valid", "problem", "json"])
+def _checked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Each linked call by itself: whether its arguments are valid, the first problem, the JSON."""
+    schemas: dict[str | None, object] = {None: None}
+    valid, problem, out = [], [], []
+    for text, schema, call, name, content in zip(*(batch.column(c).to_pylist() for c in ("arguments", "schema", "call_id", "name", "content"))):
+        value, found = parsed(text)
+        found = found and f"arguments: {found}"
+        if schema not in schemas:
+            got, broken = parsed(schema)
+            schemas[schema] = got if not broken and usable(got) else "broken"
+        if schema is None:
+            found = found or "unknown tool"
+        elif schemas[schema] == "broken":
+            found = found or "schema: not usable"
+        elif not found:
+            found = problem_of(value, schemas[schema])
+        valid.append(found is None)
+        problem.append(found and _HALF.sub("?", found))
+        out.append(canonical({"arguments": value, "id": call, "name": name, "result": content}))
+    keep = [c for c in batch.schema.names if c not in ("arguments", "schema", "content")]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(valid), pa.array(problem, pa.string()), pa.array(out, pa.string())], [*keep, "valid", "problem", "json"])
+
+
+def _order(t: pa.Table) -> pa.Table:
+    """Positions of the first calls of one conversation."""
+    ids = t.column("call_id").to_pylist()
+    place = positions([(c, (r, c), n or []) for c, r, n in zip(ids, t.column("rank").to_pylist(), t.column("needs").to_pylist())])
+    return t.select(["conv_id", "call_id"]).append_column("position", pa.array([place.get(c) for c in ids], pa.int32()))
+
+
+def ordered(first: DataFrame) -> DataFrame:
+    """(conv_id, call_id, position, unknown) of the first calls (conv_id, call_id, rank, needs) of each identifier.
+
+    Where all that a conversation's calls need comes before them by (rank, call_id), this is their topological order, and the
+    rows are numbered by a window, which sorts and spills. Only the other conversations, of which identifiers and
+    needs alone are taken, are ordered by a heap."""
+    need = first.select("conv_id", "call_id", "rank", F.explode(F.array_distinct("needs")).alias("need"))
+    there = first.select("conv_id", F.col("call_id").alias("need"), F.col("rank").alias("need_rank"))
+    edges = need.join(there, ["conv_id", "need"], "left")
+    late = (F.col("need_rank") > F.col("rank")) | ((F.col("need_rank") == F.col("rank")) & (F.col("need") >= F.col("call_id")))
+    facts = edges.groupBy("conv_id", "call_id").agg(F.bool_or(F.col("need_rank").isNull()).alias("unknown"), F.bool_or(F.coalesce(late, F.lit(False))).alias("late"))
+    odd = facts.filter("late").select("conv_id").distinct()
+    inner = first.select("conv_id", "call_id", "rank", "needs")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("rank", "call_id"))
+    easy = inner.join(odd, "conv_id", "left_anti").select("conv_id", "call_id", place.alias("position"))
+    hard = inner.join(odd, "conv_id", "left_semi").groupBy("conv_id").applyInArrow(_order, "conv_id long, call_id string, position int")
+    return easy.unionByName(hard).join(facts.select("conv_id", "call_id", "unknown"), ["conv_id", "call_id"], "left")
 
 
 def linked(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
-    calls = calls.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("call_id").cast("string").alias("call_id"), F.col("name").cast("string").alias("name"), F.col("arguments").cast("string").alias("arguments"), F.col("needs").cast("array<string>").alias("needs"))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    calls = calls.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("call_id"), text("name"), text("arguments"), F.col("needs").cast("array<string>").alias("needs"))
     answers = (
         results.filter("conv_id is not null and call_id is not null")
-        .groupBy(F.col("conv_id").cast("long").alias("conv_id"), F.col("call_id").cast("string").alias("call_id"))
+        .groupBy(F.col("conv_id").cast("long").alias("conv_id"), text("call_id"))
         .agg(F.min(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit((1 << 63) - 1)).alias("turn"), F.col("content").cast("string").alias("content"))).alias("r"))
         .select("conv_id", "call_id", F.col("r.content").alias("content"), F.lit(True).alias("answered"))
     )
-    known = tools.groupBy(F.col("name").cast("string").alias("name")).agg(F.min(F.col("schema").cast("string")).alias("schema"))
-    rows = calls.join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(known, "name", "left")
-    whole = rows.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "call_id", "name", "arguments", "needs", "content", F.coalesce("answered", F.lit(False)).alias("answered"), "schema")).alias("calls"))
-    return arrow_map(whole, _order, SCHEMA)
+    known = tools.groupBy(text("name")).agg(F.min(F.col("schema").cast("string")).alias("schema"))
+    # of the calls of one identifier the first by turn, name and arguments is the linked one
+    rank = F.coalesce("turn", F.lit((1 << 63) - 1))
+    order = [rank.alias("rank"), F.coalesce("name", F.lit("")).alias("n"), F.coalesce("arguments", F.lit("")).alias("a")]
+    rows = calls.withColumn("key", F.xxhash64("turn", "name", "arguments", "needs"))
+    first = rows.filter("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct(*order, F.xxhash64("needs").alias("h"), "key", "needs")).alias("f"), F.count("*").alias("same"))
+    first = staged(first.select("conv_id", "call_id", "f.rank", "f.key", "f.needs", "same"), "calls")
+    facts = first.select("conv_id", "call_id", "key", "same").join(ordered(first), ["conv_id", "call_id"])
+    # equal rows of one identifier: one of them is the first
+    twin = F.when(F.col("same") > 1, F.row_number().over(Window.partitionBy("conv_id", "call_id", "own").orderBy("key"))).otherwise(1)
+    met = rows.withColumnRenamed("key", "own").join(facts, ["conv_id", "call_id"])
+    many = met.filter("same > 1").withColumn("linked", (F.col("own") == F.col("key")) & (twin == 1))
+    met = met.filter("same = 1").withColumn("linked", F.lit(True)).unionByName(many)
+    none = rows.filter("conv_id is null or call_id is null").select("conv_id", "call_id", "turn", "name", "arguments", "needs", F.lit(False).alias("linked"), F.lit(None).cast("int").alias("position"), F.lit(None).cast("boolean").alias("unknown"))
+    met = met.select(*none.columns).unionByName(none)
+    whole = met.join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "left").join(known, "name", "left")
+    answered = F.coalesce(F.col("linked") & F.col("answered"), F.lit(False))
+    whole = whole.select("conv_id", "call_id", "name", "position", "linked", "unknown", answered.alias("answered"), "arguments", F.when(answered, F.col("content")).alias("content"), "schema")
+    types = "conv_id long, call_id string, name string, position int, linked boolean, unknown boolean, answered boolean, valid boolean, problem string, json string"
+    done = arrow_map(whole, _checked, types)
+    place = (
+        F.when(F.col("conv_id").isNull() | F.col("call_id").isNull(), "no id").when(~F.col("linked"), "repeated id")
+        .when(F.coalesce("unknown", F.lit(False)), "needs unknown call").when(F.col("position").isNull(), "circular")
+    )
+    return done.select("conv_id", "call_id", "name", F.when(F.col("linked"), F.col("position")).alias("position"), "answered", "valid", F.coalesce("problem", place).alias("problem"), "json")
 
 
 #: The tool of op1_tool_calls: prompts of 2,000 characters and more, and of 60 words and more, aren't valid.
