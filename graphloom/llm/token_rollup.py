@@ -3,8 +3,9 @@
 Totals of documents and tokens by source, language and tokenizer version are sums, so a change is a signed
 delta: an insert adds (+1, +tokens), a delete (-1, -tokens), a revised count (0, new - old); a document that
 changes its source or language is a delete and an insert. A batch of changes is reduced to one row for each
-group and written under its own batch number; the rename of the finished folder is the commit. A batch that
-is delivered again, or was cut off before its commit, is therefore counted once.
+group and written to a folder of its own; the commit is a small file, named after the batch, that names the folder and
+is moved to its place only if none is there, as the commit logs of streaming queries are. A batch that is delivered
+again, or was cut off before its commit, is therefore counted once.
 
 ``apply_batch`` adds a batch, ``totals`` reads the sums over all committed batches, ``compact`` folds them into
 one file set with a note of the batches that it holds.
@@ -20,19 +21,21 @@ change raises an error; equal rows in one batch are separate changes.
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from functools import partial
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, shared_dir, table
+from ._common import arrow_map, discard, shared_dir, staged, table
 from ._tokens import TOKENIZERS, counter
 
 GROUP = ["source", "lang", "version"]
 SCHEMA = "source string, lang string, version string, docs long, tokens long"
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARIES = ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"]
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -45,28 +48,39 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Deltas under ``path``: a folder for each committed batch, and compacted ones."""
+    """Deltas under ``path``: a folder of rows for each batch or compaction, and the files that commit them."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.path))
-
-    def _names(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)))
+        self._jvm = spark.sparkContext._jvm
+        self._hadoop = self._jvm.org.apache.hadoop.fs
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        root = self._hadoop.Path(self.path)
+        self._fs, self._files = root.getFileSystem(conf), self._hadoop.FileContext.getFileContext(root.toUri(), conf) if root.toUri().getScheme() else self._hadoop.FileContext.getFileContext(conf)
+        self._fs.mkdirs(root)
+
+    def _at(self, name: str):
+        return self._hadoop.Path(f"{self.path}/{name}")
+
+    def _names(self, start: str) -> list[str]:
+        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(self._at(""))) if n.startswith(start))
+
+    def _folder(self, commit: str) -> str:
+        stream = self._fs.open(self._at(commit))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def _parts(self) -> tuple[str | None, list[int]]:
-        """The newest compacted folder and the committed batches that it doesn't hold."""
-        names = self._names()
-        base = max((n for n in names if n.startswith("upto-")), key=lambda n: int(n.split("-")[1]), default=None)
-        low = int(base.split("-")[1]) if base else -1
-        return base, sorted(b for b in (int(n.split("-")[1]) for n in names if n.startswith("batch-")) if b > low)
+        """The newest compaction and the committed batches that it doesn't hold."""
+        base = max(self._names("upto-"), key=_number, default=None)
+        low = _number(base) if base else -1
+        return base, sorted(b for b in map(_number, self._names("batch-")) if b > low)
 
     def committed(self, batch: int) -> bool:
         base, more = self._parts()
-        return batch in more or bool(base and batch <= int(base.split("-")[1]))
+        return batch in more or bool(base and batch <= _number(base))
 
     def apply_batch(self, batch: int, changes: DataFrame) -> bool:
         """True if the batch was committed now, False if it had been before."""
@@ -74,61 +88,85 @@ class Store:
             return False
         return self._write(deltas(changes), f"batch-{batch}")
 
-    def _write(self, df: DataFrame, name: str) -> bool:
-        tmp = f"{self.path}/_tmp-{uuid.uuid4().hex}"
-        df.write.parquet(tmp)
-        target = self._path(f"{self.path}/{name}")
-        done = not self._fs.exists(target) and self._fs.rename(self._path(tmp), target)
-        if not done:  # another writer committed the same batch first
-            self._fs.delete(self._path(tmp), True)
-        return bool(done)
+    def _write(self, df: DataFrame, commit: str) -> bool:
+        own = uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/data-{own}")
+        stream = self._fs.create(self._at(f"tmp-{own}"), False)
+        stream.write(bytearray(f"data-{own}".encode()))
+        stream.close()
+        kinds = getattr(self._hadoop, "Options$Rename")
+        option = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        option[0] = kinds.NONE
+        try:
+            self._files.rename(self._at(f"tmp-{own}"), self._at(commit), option)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            for name in (f"tmp-{own}", f"data-{own}"):  # another writer committed the same batch first
+                self._fs.delete(self._at(name), True)
+            return False
+        return True
 
-    def totals(self) -> DataFrame:
-        base, more = self._parts()
-        paths = [f"{self.path}/{n}" for n in ([base] if base else []) + [f"batch-{b}" for b in more]]
+    def _rows(self, base: str | None, batches: list[int]) -> DataFrame | None:
+        paths = [f"{self.path}/{self._folder(n)}" for n in ([base] if base else []) + [f"batch-{b}" for b in batches]]
         if not paths:
-            return self.spark.createDataFrame([], SCHEMA)
+            return None
         rows = self.spark.read.schema(SCHEMA).parquet(*paths)
-        return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs != 0 or tokens != 0")
+        return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+
+    def totals(self) -> DataFrame:
+        rows = self._rows(*self._parts())
+        return self.spark.createDataFrame([], SCHEMA) if rows is None else rows.filter("docs != 0 or tokens != 0")
 
     def compact(self, upto: int) -> None:
-        """Fold the batches up to ``upto``, none of which may come later; their folders stay until ``sweep``."""
+        """Fold the batches up to ``upto``, none of which may come later; their rows stay until ``sweep``."""
         base, more = self._parts()
-        paths = [f"{self.path}/{n}" for n in ([base] if base else []) + [f"batch-{b}" for b in more if b <= upto]]
-        if paths:
-            rows = self.spark.read.schema(SCHEMA).parquet(*paths)
-            self._write(rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), f"upto-{upto}")
+        rows = self._rows(base, [b for b in more if b <= upto])
+        if rows is not None:
+            self._write(rows, f"upto-{upto}")
 
-    def sweep(self) -> None:
-        """Remove folders that a compacted one holds, and unfinished ones."""
+    def sweep(self, age: float = 86_400) -> None:
+        """Remove what the newest compaction holds, and what writers left uncommitted that began ``age`` seconds ago or more."""
         base, _ = self._parts()
-        low = int(base.split("-")[1]) if base else -1
-        for n in self._names():
-            if n.startswith("_tmp-") or (n != base and n.split("-")[0] in ("batch", "upto") and int(n.split("-")[1]) <= low):
-                self._fs.delete(self._path(f"{self.path}/{n}"), True)
+        low = _number(base) if base else -1
+        for name in [*self._names("batch-"), *self._names("upto-")]:
+            if name != base and _number(name) <= low:
+                folder = self._folder(name)
+                self._fs.delete(self._at(name), False)
+                self._fs.delete(self._at(folder), True)
+        live = {self._folder(n) for n in [*self._names("batch-"), *self._names("upto-")]}
+        for name in [*self._names("data-"), *self._names("tmp-")]:
+            if name not in live and self._fs.getFileStatus(self._at(name)).getModificationTime() <= (time.time() - age) * 1000:
+                self._fs.delete(self._at(name), True)
+
+
+def _number(name: str) -> int:
+    return int(name.split("-")[1])
 
 
-def _count(batch: pa.RecordBatch, vocabulary: str, folder: str) -> pa.RecordBatch:
-    n = counter(vocabulary, folder).count(batch.column("text"))
+def _count(batch: pa.RecordBatch, vocabularies: list[str], folder: str) -> pa.RecordBatch:
+    """A row for each text and vocabulary."""
     keep = [c for c in batch.schema.names if c != "text"]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n)], [*keep, "tokens"])
+    parts = []
+    for v in vocabularies:
+        n = counter(v, folder).count(batch.column("text"))
+        parts.append(pa.table([*(batch.column(c) for c in keep), pa.array([v] * batch.num_rows, pa.string()), pa.array(n)], names=[*keep, "version", "tokens"]))
+    return pa.concat_tables(parts).combine_chunks().to_batches()[0]
 
 
-def counted(docs: DataFrame, vocabulary: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
-    """doc_id, source, lang, version and exact tokens of each document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(vocabulary).alias("version"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, partial(_count, vocabulary=vocabulary, folder=folder), "doc_id long, source string, lang string, version string, tokens long")
+def counted(docs: DataFrame, vocabularies: list[str] = VOCABULARIES, folder: str = TOKENIZERS) -> DataFrame:
+    """doc_id, source, lang, version and exact tokens of each document, under each vocabulary."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return arrow_map(rows, partial(_count, vocabularies=vocabularies, folder=folder), "doc_id long, source string, lang string, version string, tokens long")
 
 
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted, those of bad quality by the labels are deleted, and the counts of the others
-    are revised (one end-of-text token each); the delete batch is delivered twice, and two batches are folded."""
+    """All documents are inserted under two tokenizer versions, those of bad quality by the labels are deleted, and the
+    counts of the others are revised (one end-of-text token each); the delete batch is delivered twice, and two
+    batches are folded."""
     docs = table(spark, sf_dir, "documents")
-    path = f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
-    base = f"{path}-counted"
-    counted(docs, folder=os.environ.get("GRAPHLOOM_TOKENIZERS", TOKENIZERS)).write.parquet(base)
-    rows = spark.read.parquet(base)
-    store = Store(spark, path)
+    rows = staged(counted(docs, folder=os.environ.get("GRAPHLOOM_TOKENIZERS", TOKENIZERS)), "counted")
+    store = Store(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     none = F.lit(None).cast("long").alias("old_tokens")
     store.apply_batch(0, rows.select(F.lit("insert").alias("change"), "*", none))
     bad = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -139,6 +177,7 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     revised = left.select(F.lit("revise").alias("change"), "doc_id", *GROUP, (F.col("tokens") + 1).alias("tokens"), F.col("tokens").alias("old_tokens"))
     store.apply_batch(2, revised)
     store.compact(1)
+    discard(rows)
     return store.totals()
 
 

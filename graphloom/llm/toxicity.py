@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, staged, table
-from ._text import buffers, chunks
+from ._common import arrow_map, discard, staged, table
+from ._text import _CHARS, _TAB, buffers, chunks, mix
 
 LAMBDA, SPAN = 0.6, 6
 #: Bound of the training sample: labelled documents that are read, by order of a hash of doc_id.
@@ -47,6 +47,7 @@ SAMPLE = 12_000
 NEGATIVES, LANDMARKS, ALTERED = 15_000, 256, 6
 #: A word is a witness if that many words seen beside as many neighbours, all toxic by chance, are less likely.
 CHANCE = 0.01
+PARTS = 4
 #: Rounds in which clean words of the sample that score above NEAR are added to the clean class (HARD at most a round).
 MINED, NEAR, HARD = 3, -0.5, 5_000
 #: A word with that share of toxic neighbours or more, some clean ones too, is of neither class.
@@ -57,8 +58,13 @@ LIKELY, SURE = 0.6, 0.99
 PAIR = 2
 #: Scores above it are toxic: half-way between the clean words' side and where altered insults lie.
 THRESHOLD = 0.4
+#: Strings of up to SHORT letters have one triple at most, so that they are like themselves alone: they are looked up.
+SHORT = 3
+#: Strings of the training sample: none longer than LONGEST letters, WITNESSES of the toxic class (the most frequent);
+#: beginnings and ends that make a family have up to PIECE letters. Strings of any length are scored.
+LONGEST, WITNESSES, PIECE = 64, 4_000, 24
 _LETTERS = 32
-Machines = tuple[np.ndarray, np.ndarray, frozenset[bytes]]
+Machines = tuple[np.ndarray, np.ndarray, frozenset[bytes], dict[bytes, float]]
 
 
 def _table() -> tuple[bytes, bytes]:
@@ -84,9 +90,10 @@ _SYM, _LATIN = _table()
 OFFSETS = [(a, b, LAMBDA ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 
 
-def strings(offsets: np.ndarray, raw: np.ndarray, i: int, j: int, accents: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, start of each string, text of each string) of the texts i to j. With accents, letters that have
-    one are other symbols than those without; the strings and their lengths are the same."""
+def strings(offsets: np.ndarray, raw: np.ndarray, i: int, j: int, accents: bool = False, places: bool = False) -> tuple[np.ndarray, ...]:
+    """(symbols, start of each string, text of each string) of the texts i to j, and with places the byte where each
+    starts. With accents, letters that have one are other symbols than those without; the strings and their lengths
+    are the same."""
     lo, hi = int(offsets[i]), int(offsets[j])
     data = raw[lo:hi].tobytes()
     sym = np.frombuffer(data.translate(_SYM), np.uint8)
@@ -107,12 +114,13 @@ def strings(offsets: np.ndarray, raw: np.ndarray, i: int, j: int, accents: bool
     place = np.flatnonzero(keep)
     sym = sym[keep]
     if not len(sym):
-        return sym, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (sym, *[np.zeros(0, np.int64)] * (3 if places else 2))
     first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     text = np.searchsorted(offsets[i : j + 1] - lo, place[first], "right") - 1
     size = np.diff(np.append(first, len(sym)))
     join = np.concatenate([[False], (size[1:] == 1) & (size[:-1] == 1) & (text[1:] == text[:-1])])
-    return sym, first[~join], text[~join]
+    out = sym, first[~join], text[~join]
+    return (*out, place[out[1]]) if places else out
 
 
 def triples(sym: np.ndarray, first: np.ndarray):
@@ -247,8 +255,8 @@ def score(v: np.ndarray, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
     low = np.sqrt(square)[size]
     out = np.where(low > 0, sums / np.maximum(low, 1e-12), -1.0)
     out = np.where(low > 0, out + v[-1], -1.0)
-    hot = np.flatnonzero((out > 0) & (size >= 4))
-    out[(size < 4) & (out > 0)] = -1e-9
+    out[size <= SHORT] = -1.0  # these are looked up
+    hot = np.flatnonzero(out > 0)
     if len(hot):
         ends = np.append(first[1:], len(sym))
         pieces = [sym[first[k] : ends[k]] for k in hot]
@@ -257,33 +265,50 @@ def score(v: np.ndarray, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def sentence_ends(raw: np.ndarray) -> np.ndarray:
+    """Places of the bytes that end a sentence: . ! ? before white space, and line ends."""
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    after = np.concatenate([blank[1:], [True]]) if len(raw) else blank
+    return np.flatnonzero((np.isin(raw, np.frombuffer(b".!?", np.uint8)) & after) | (raw == 10))
+
+
 def _train_words(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Distinct (word, neighbour before it, class) of a batch of labelled texts."""
+    """Distinct (word, sentence, class): the strings of the sentences of a batch of labelled texts, a sentence being
+    the hash of its strings and inheriting its text's label."""
     offsets, raw = buffers(batch.column("text"))
-    toxic = batch.column("toxic").to_pylist()
-    out = set()
+    toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32)
+    words, sentences, classes = [], [], []
     for i, j in chunks(offsets):
-        sym, first, text = strings(offsets, raw, i, j, accents=True)
-        data, ends = (sym + 96).astype(np.uint8).tobytes(), np.append(first[1:], len(sym))
-        plain = (strings(offsets, raw, i, j)[0] + 96).astype(np.uint8).tobytes()
-        before, old = b"", -1
-        for s, e, t in zip(first.tolist(), ends.tolist(), text.tolist()):
-            word = data[s:e]
-            if t != old:
-                before, old = b"", t
-            if 4 <= e - s <= 24:
-                out.add((word, hash_of(before), int(toxic[i + t])))
-                if not toxic[i + t] and plain[s:e] != word:
-                    out.add((plain[s:e], hash_of(before), 0))
-            before = word
-    cols = list(zip(*out)) or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["word", "before", "toxic"])
-
-
-def hash_of(word: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(word)
+        sym, first, text, place = strings(offsets, raw, i, j, accents=True, places=True)
+        if not len(first):
+            continue
+        plain = strings(offsets, raw, i, j)[0]
+        ends, own = np.append(first[1:], len(sym)), hashes(sym, first)
+        number = np.searchsorted(sentence_ends(raw[offsets[i] : offsets[j]]), place)
+        new = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (text[1:] != text[:-1])]))
+        total = np.repeat(np.add.reduceat(mix(own), new), np.diff(np.append(new, len(own))))
+        label = toxic[i + text]
+        for letters, hashed, some in ((sym, own, np.ones(len(own), bool)), (plain, hashes(plain, first), label == 0)):
+            if letters is plain:
+                some &= hashed != own
+            some &= ends - first <= LONGEST
+            k = np.flatnonzero(some)
+            _, once = np.unique(mix(hashed[k] ^ mix(total[k] + label[k].astype(np.uint64))), return_index=True)
+            data = (letters + 96).astype(np.uint8).tobytes()
+            words += [data[a:b] for a, b in zip(first[k[once]].tolist(), ends[k[once]].tolist())]
+            sentences.append(total[k[once]].view(np.int64))
+            classes.append(label[k[once]])
+    none = np.zeros(0, np.int64)
+    cols = [pa.array(words, pa.binary()), pa.array(np.concatenate([none, *sentences])), pa.array(np.concatenate([none.astype(np.int32), *classes]))]
+    return pa.RecordBatch.from_arrays(cols, ["word", "sentence", "toxic"])
+
+
+def hashes(sym: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each string."""
+    up, down = _CHARS.get(len(sym) + 1)
+    sums = np.zeros(len(sym) + 1, np.uint64)
+    np.cumsum(_TAB[sym] * up[:-1], out=sums[1:])
+    return mix((sums[np.append(first[1:], len(sym))] - sums[first]) * down[first])
 
 
 def _unsymbol(word) -> bytes:
@@ -303,8 +328,8 @@ def beyond_chance(t: str, c: str, share: float, kinds: int) -> str:
 def witnesses(words: DataFrame, share: float, kinds: int) -> DataFrame:
     """(word, t, p) of ``words`` (word, t, c): the witnesses, p being the least toxic share of what each is one for."""
     own = words.filter(beyond_chance("t", "c", share, kinds)).select("word", "t", F.expr("(t + 1) / (t + c + 1)").alias("p"))
-    pieces = words.filter("length(word) > 3").select("word", "t", "c", F.explode(F.expr(
-        "flatten(transform(sequence(3, length(word) - 1), k -> array(named_struct('end', false, 's', substring(word, 1, k)), named_struct('end', true, 's', substring(word, length(word) - k + 1, k)))))"
+    pieces = words.filter(f"length(word) > {SHORT}").select("word", "t", "c", F.explode(F.expr(
+        f"flatten(transform(sequence(3, least(length(word) - 1, {PIECE})), k -> array(named_struct('end', false, 's', substring(word, 1, k)), named_struct('end', true, 's', substring(word, length(word) - k + 1, k)))))"
     )).alias("piece"))
     family = pieces.groupBy("piece").agg(F.sum("t").alias("ft"), F.sum("c").alias("fc"), F.max("t").alias("most"))
     family = family.filter(beyond_chance("(ft - most)", "fc", share, kinds)).select("piece", F.expr("(ft + 1) / (ft + fc + 1)").alias("p"))
@@ -318,33 +343,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machines
     some = labels.groupBy("__id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = texts.join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("text", "toxic")
-    words = (
-        arrow_map(both, _train_words, "word binary, before long, toxic int").distinct()
-        .groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    # the sample is bounded, so a few partitions hold it, and each sends few candidates to the driver
+    words = staged(
+        arrow_map(both, _train_words, "word binary, sentence long, toxic int").distinct()
+        .groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).coalesce(PARTS), "words"
     )
-    words.persist()
-    try:
-        all_t, all_c, kinds = words.agg(F.sum("t"), F.sum("c"), F.count("*")).first()
-        if not all_t or not all_c:
-            return None
-        chosen = staged(witnesses(words, all_t / (all_t + all_c), kinds), "witnesses")
-        seen = {_unsymbol(r.word): r.p for r in chosen.orderBy(F.desc("t"), "word").limit(4000).collect()}
-        sure, likely = [w for w in seen if seen[w] >= SURE], [w for w in seen if seen[w] < SURE]
-        fair = words.filter(f"c > 0 and t < {UNSURE} * (t + c)").join(chosen.select("word"), "word", "left_anti")
-        often = fair.orderBy(F.desc("c"), "word").limit(NEGATIVES // 2).collect()
-        rest = fair.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES // 2).collect()
-        clean = list(dict.fromkeys(_unsymbol(r.word) for r in often + rest))
-        if not seen or not clean:
-            return None
-        every = mined(fair, list(seen), clean, [])
-        if not likely:
-            return every, every, frozenset()
-        shown = arrow_map(fair.filter("t <= c").select("word"), _hard(every), "word binary, s double").filter("s > 0")
-        spared = frozenset(bytes(c - 96 for c in r.word) for r in shown.orderBy(F.desc("s"), "word").limit(HARD).collect())
-        one = mined(fair, sure, clean, likely) if sure else np.append(np.zeros(_LETTERS**3), -1.0)
-        return one, every, spared
-    finally:
-        words.unpersist()
+    all_t, all_c, kinds = words.agg(F.sum("t"), F.sum("c"), F.count("*")).first()
+    if not all_t or not all_c:
+        return None
+    chosen = staged(witnesses(words, all_t / (all_t + all_c), kinds), "witnesses")
+    found = {_unsymbol(r.word): r.p for r in chosen.orderBy(F.desc("t"), "word").limit(WITNESSES).collect()}
+    short = {bytes(c - 96 if c < 123 else c - 0x80 + 27 for c in w): p for w, p in found.items() if len(w) <= SHORT}
+    seen = {w: p for w, p in found.items() if len(w) > SHORT}
+    sure, likely = [w for w in seen if seen[w] >= SURE], [w for w in seen if seen[w] < SURE]
+    fair = words.filter(f"c > 0 and t < {UNSURE} * (t + c) and length(word) > {SHORT}").join(chosen.select("word"), "word", "left_anti")
+    fair = staged(fair.select("word", "t", "c").coalesce(PARTS), "fair")
+    often = fair.orderBy(F.desc("c"), "word").limit(NEGATIVES // 2).collect()
+    rest = fair.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES // 2).collect()
+    clean = list(dict.fromkeys(_unsymbol(r.word) for r in often + rest))
+    never = np.append(np.zeros(_LETTERS**3), -1.0)
+    one, every, spared = never, never, frozenset()
+    if seen and clean:
+        one = every = mined(fair, list(seen), clean, [])
+        if likely:
+            shown = arrow_map(fair.filter("t <= c").select("word"), _hard(every), "word binary, s double").filter("s > 0")
+            spared = frozenset(bytes(c - 96 for c in r.word) for r in shown.orderBy(F.desc("s"), "word").limit(HARD).collect())
+            one = mined(fair, sure, clean, likely) if sure else never
+    discard(words, chosen, fair)
+    return (one, every, spared, short) if seen and clean or short else None
 
 
 def mined(fair: DataFrame, toxic: list[bytes], clean: list[bytes], added: list[bytes]) -> np.ndarray:
@@ -386,9 +412,26 @@ def both_ways(v: np.ndarray, kept: np.ndarray, plain: np.ndarray, first: np.ndar
     return out
 
 
+def _key(string: bytes) -> int:
+    """Strings of up to SHORT symbols as numbers."""
+    return sum((c + 1) << (8 * k) for k, c in enumerate(string))
+
+
+def looked_up(sym: np.ndarray, first: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Numbers of the short strings that are among ``keys``."""
+    k = np.flatnonzero(ends - first <= SHORT)
+    if not len(keys) or not len(k):
+        return k[:0]
+    pad = np.append(sym, np.zeros(SHORT, sym.dtype)).astype(np.int64)
+    at = first[k][:, None] + np.arange(SHORT)
+    own = np.where(at < ends[k][:, None], (pad[at] + 1) << (8 * np.arange(SHORT)), 0).sum(axis=1)
+    return k[keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own]
+
+
 def judge(machines: Machines):
     """The highest score, and its string, of each text of a batch; -1 where a text is not toxic."""
-    one, every, spared = machines
+    one, every, spared, short = machines
+    keys = np.sort(np.array([_key(w) for w in short], np.int64))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         offsets, raw = buffers(batch.column(batch.schema.get_field_index("text")))
@@ -404,7 +447,15 @@ def judge(machines: Machines):
             for k in np.flatnonzero(likely > 0):
                 if (string := kept[first[k] : ends[k]].tobytes()) not in spared:
                     found.setdefault(i + int(text[k]), {})[string] = (float(likely[k]), int(k))
-            best = {t: max(x.values()) for t, x in found.items() if len(x) >= PAIR}
+            best: dict[int, tuple[float, int]] = {}
+            for k in looked_up(kept, first, ends, keys):
+                t, string = i + int(text[k]), kept[first[k] : ends[k]].tobytes()
+                found.setdefault(t, {})[string] = (float(short[string]), int(k))
+                if short[string] >= SURE:
+                    best[t] = max(best.get(t, (-1.0, 0)), (float(short[string]), int(k)))
+            for t, x in found.items():
+                if len(x) >= PAIR:
+                    best[t] = max([best.get(t, (-1.0, 0)), *x.values()])
             for k in np.flatnonzero(sure > 0):
                 t = i + int(text[k])
                 best[t] = max(best.get(t, (-1.0, 0)), (float(sure[k]), int(k)))

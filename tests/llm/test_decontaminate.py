@@ -97,3 +97,34 @@ def test_long_items_at_every_offset_and_halves_without_words():
     found = dc.find(index)(pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "text"]))
     got = set(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
     assert got == {(100 * k + at, k) for k in range(4) for at in range(65)}
+
+
+def test_wand_equals_all_scores():
+    rnd = random.Random(12)
+    vocab = [f"v{k}" for k in range(60)]
+    items = [" ".join(rnd.choices(vocab, k=rnd.randint(1, 150))) for _ in range(70)]
+    index = dc.Index(list(range(70)), items)
+    queries = [np.unique(np.array(rnd.choices(range(len(index.vocab)), k=rnd.randint(0, 40)), np.int64)) for _ in range(300)]
+    bounds = np.concatenate([[0], np.cumsum([len(q) for q in queries])])
+    for threshold in (0.2, 0.5, 0.9):
+        got = {(p, k): s for p, k, s in zip(*(x.tolist() for x in index.search(np.concatenate(queries), bounds, threshold)))}
+        want = {}
+        for p, q in enumerate(queries):
+            score = np.zeros(len(index.owner))
+            for t in q:
+                a, b = index.post_start[t], index.post_start[t + 1]
+                score[index.post_item[a:b]] += index.post_weight[a:b]
+            want |= {(p, int(k)): score[k] for k in np.flatnonzero(score >= threshold - 1e-9)}
+        assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_verbatim_copies_of_any_length_are_found():
+    """Whole copies inside other text, without a look at the operator's passages and thresholds."""
+    rnd = random.Random(13)
+    vocab = ["".join(rnd.choice("uvwxyzabc") for _ in range(7)) for _ in range(4000)]
+    items = [" ".join(rnd.choice(vocab) for _ in range(n)) + "? " + " ".join(rnd.choice(vocab) for _ in range(5)) + "." for n in (5, 30, 60, 120, 180, 240, 400, 800, 2000, 20_000)]
+    index = dc.shards(list(range(len(items))), items, None)
+    texts = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 300))) + " " + item + " " + " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 300))) for item in items]
+    clean = [" ".join(rnd.choice(vocab) for _ in range(500)) for _ in range(30)]
+    found = dc.find(index)(pa.RecordBatch.from_arrays([pa.array(range(len(texts + clean))), pa.array(texts + clean)], ["doc_id", "text"]))
+    assert set(zip(found.column(0).to_pylist(), found.column(1).to_pylist())) == {(k, k) for k in range(len(items))}

@@ -64,13 +64,27 @@ def test_forward_equals_plain_convolution():
 def test_held_out_accuracy_and_edge_cases(spark):
     rows = corpus()
     known = spark.createDataFrame(rows[:120], DOCS)
-    probe = [*rows[120:], (900, None, "aa"), (901, "", None), (902, "  ", None), (None, rows[0][1], None), (903, "the " * 9000, None)]
+    probe = [*rows[120:], (900, None, "aa"), (901, "", None), (902, "  ", None), (904, "\n\t\r\n", None), (905, "\u00a0\u2003", None), (None, rows[0][1], None), (903, "the " * 9000, None)]
     got = {r.doc_id: r for r in li.identified(spark.createDataFrame([(*r, 1) for r in probe], DOCS + ", windows int"), known).collect()}
     assert len(got) == len(probe)
     right = sum(got[d].lang_pred == lang for d, _, lang in rows[120:])
     assert right >= 0.97 * 120
-    assert all(got[k].lang_pred is None and got[k].confidence == 0 and got[k].windows == 0 for k in (900, 901, 902))
+    assert all(got[k].lang_pred is None and got[k].confidence == 0 and got[k].windows == 0 for k in (900, 901, 902, 904, 905))
     assert got[903].lang_pred == "aa" and got[903].windows == -(-36000 // li.WINDOW)
     empty = spark.createDataFrame([], DOCS)
     assert li.identified(empty).count() == 0
     assert [r.lang_pred for r in li.identified(spark.createDataFrame(rows[:2], DOCS), empty).collect()] == [None, None]
+
+
+def test_250_languages_are_told_apart():
+    rng = np.random.default_rng(4)
+    names = [f"l{k:03}" for k in range(250)]
+    alphabets = [rng.choice(np.arange(97, 123), 5, replace=False) for _ in names]
+    text = lambda k: bytes(np.insert(rng.choice(alphabets[k], 250), rng.integers(0, 250, 5), 32).astype(np.uint8))
+    off, raw = li.buffers(pa.array([text(k).decode() for k in range(250) for _ in range(20)]))
+    start, length, which = li.windows(off, raw)
+    net = li.train_net(li.matrix(raw, start, length), which // 20, names, epochs=12)
+    assert len(net.c) == 250
+    off, raw = li.buffers(pa.array([text(k).decode() for k in range(250)]))
+    start, length, which = li.windows(off, raw)
+    assert (net.log_probs(li.matrix(raw, start, length)).argmax(axis=1) == which).mean() > 0.9

@@ -1,3 +1,6 @@
+import html as htmllib
+import random
+import time
 from math import log
 
 from graphloom.llm import site_style_tree as st
@@ -66,3 +69,125 @@ def test_rows_below_a_header_row_and_second_siblings_stay(spark):
         for part in (f"thing {r.page_id} a", f"thing {r.page_id} b", f"Story {r.page_id} of its own"):
             assert part in r.text
         assert "Home" not in r.text and "Menu" not in r.text
+
+
+def plain(pages):
+    """text and number of cut branches of each page of one host, from the definition: elements are paths of
+    (style, key), every page's observations are kept, and importance is a recursion."""
+    trees = [st.parse(p) for p in pages]
+    styles, feats, shown = {}, {}, {}
+
+    def see(node, element, page):
+        style = st.style(node)
+        shown.setdefault(element, set()).add(page)
+        styles.setdefault(element, {}).setdefault(style, set()).add(page)
+        for f in st.content(node):
+            feats.setdefault(element, []).append((f, page))
+        for c in node.children:
+            if c.tag not in st._INLINE:
+                see(c, (element, style, c.key), page)
+
+    for k, tree in enumerate(trees):
+        see(tree, (), k)
+
+    def content(e):
+        if e not in feats:
+            return None
+        m, total = len(shown[e]), 0.0
+        for f in {f for f, _ in feats[e]}:
+            by = [sum(1 for x in feats[e] if x == (f, p)) for p in shown[e]]
+            n = sum(by)
+            total += n * (-sum(c / n * log(c / n) for c in by if c) / log(m) if m > 1 else 0.0)
+        return 1 - total / len(feats[e])
+
+    def importance(e):
+        m, own = len(shown[e]), content(e)
+        if not any(styles[e]):
+            return own if own is not None else float(m == 1)
+        total = sum(len(p) for p in styles[e].values())
+        shares = [(len(p) / total, s) for s, p in styles[e].items()]
+        look = 1.0 if m == 1 else min(1.0, -sum(p * log(p) for p, _ in shares) / log(m))
+        inner = 0.0
+        for p, s in shares:
+            kids = [importance((e, s, k)) for k in dict.fromkeys(s)]
+            inner += p * (sum(kids) / len(kids) if kids else own or 0.0)
+        fade = st.GAMMA ** len(shares)
+        value = (1 - fade) * look + fade * inner
+        return value if own is None else max(value, own)
+
+    def top(e):
+        return max([importance(e), *(top((e, s, k)) for s in styles[e] for k in dict.fromkeys(s))])
+
+    def text(node, element):
+        if node.tag in st._SILENT:
+            return "", 0
+        if node.tag not in st._INLINE and node.tag and top(element) < st.CUT:
+            return "", 1
+        out, cut, style = "", 0, st.style(node)
+        for p in node.parts:
+            if isinstance(p, str):
+                out += p
+                continue
+            t, n = text(p, (element, style, p.key) if p.tag not in st._INLINE else element)
+            out, cut = out + ("\x00" + t + "\x00" if p.tag not in st._INLINE or p.tag == "br" else t), cut + n
+        return out, cut
+
+    got = [text(t, ()) for t in trees]
+    lines = lambda t: "\n".join(x for x in (" ".join(htmllib.unescape(y).split()) for y in t.split("\x00")) if x)
+    return [(lines(t), n) for t, n in got]
+
+
+def test_operator_equals_brute_force(spark):
+    rnd = random.Random(3)
+    some = lambda n: " ".join(rnd.choice(["ga", "bu", "zo", "meu", "&amp;"]) + str(rnd.randrange(40)) for _ in range(n))
+
+    def block(depth):
+        tag = rnd.choice(["div", "p", "ul", "table", "section"])
+        cls = rnd.choice(["", ' class="a"', " class='b' id=x"])
+        inner = f"<li>same<li>{some(2)}" if tag == "ul" else f"<tr><th>head<tr><td>{some(2)}<td>fixed" if tag == "table" else some(rnd.randint(0, 4)) if tag == "p" or depth > 2 else "".join(block(depth + 1) for _ in range(rnd.randint(0, 3)))
+        return f"<{tag}{cls}>{rnd.choice(['', 'menu', some(1)])}{inner}{rnd.choice(['', '<b>x</b><br>', '<a href=/home>Home</a>'])}</{tag}>"
+
+    hosts = {f"h{k}.example": ["<html><body><nav><a href='/'>Start</a></nav>" + "".join(block(0) for _ in range(rnd.randint(0, 3))) + "<footer>all rights</footer>" for _ in range(n)] for k, n in enumerate((1, 2, 5, 9))}
+    rows = [(k, f"http://{h}/{k}", page) for h, pages in hosts.items() for k, page in enumerate(pages)]
+    got = {(r.host, r.page_id): (r.text, r.removed) for r in st.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {(h, k): x for h, pages in hosts.items() for k, x in enumerate(plain(pages))}
+    assert got == want
+    assert any(n for _, n in got.values()) and any(t for t, _ in got.values())
+
+
+def test_depth_has_no_limit():
+    page = "<main>" + "<div>" * 80 + "<p>deep</p>" + "</div>" * 70 + "<p>tenth</p>" + "</div>" * 10 + "</main>"
+    depth, found, todo = {}, {}, [(st.parse(page), 0)]
+    while todo:
+        node, d = todo.pop()
+        depth[node.tag] = max(d, depth.get(node.tag, 0))
+        for p in node.parts:
+            if isinstance(p, str):
+                found[p] = d
+            else:
+                todo.append((p, d + 1))
+    assert found == {"deep": 82, "tenth": 12}
+
+
+def test_time_is_in_proportion_to_length_whatever_the_page_holds():
+    pieces = ["<a ", '<a x="', "<p><object><b><hr>", "<div>", "</p>", "<!--", "<", "<a '", '<a "<b>" <c ', "<script>", "<a b=", "<p>", "<![CDATA[", "</script ", "<a \"'", "&amp;<b>"]
+    rnd = random.Random(1)
+    for piece in [*pieces, "".join(rnd.choices(pieces, k=30))]:
+        took = []
+        for n in (40_000, 160_000):
+            page = (piece * n)[:n] + '"'
+            began = time.process_time()
+            st._text(st.parse(page), set())
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 0.2, (piece, took)
+
+
+def test_fuzz_never_fails():
+    rnd = random.Random(2)
+    pieces = ["<", ">", "/", '"', "'", "=", " ", "a", "<div", "<p>", "</p>", "<!--", "-->", "<script>", "</script>", "<br/>", "&#x;", "&amp", "<td>", "\x00", "é", "<![CDATA[", "]]>", "<?x", "<b class=q>"]
+    for _ in range(20_000):
+        page = "".join(rnd.choices(pieces, k=rnd.randrange(12)))
+        root = st.parse(page)
+        for _ in st.walk(root):
+            pass
+        st._text(root, set())

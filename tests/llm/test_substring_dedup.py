@@ -37,10 +37,10 @@ def corpus(seed, n=60):
 
 
 def test_equals_brute_force(spark):
-    for seed in (1, 2):
-        rows = corpus(seed)
+    for seed, hot in ((1, sd.HOT), (2, sd.HOT), (2, 2)):  # with hot = 2 all that repeats in the sample goes the hot way
+        rows = corpus(seed, 60 if hot > 2 else 300)
         got = {}
-        for r in sd.repeated_spans(spark.createDataFrame(rows, DOCS), base=6).collect():
+        for r in sd.repeated_spans(spark.createDataFrame(rows, DOCS), 6, hot).collect():
             got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
         assert got == brute(rows, 12)
 
@@ -64,3 +64,17 @@ def test_empty_and_repeated_rows(spark):
     assert sd.repeated_spans(spark.createDataFrame([], DOCS)).count() == 0
     a = " ".join(f"w{i}" for i in range(60))
     assert sd.repeated_spans(spark.createDataFrame([(1, a), (1, a)], DOCS)).count() == 0
+
+
+def test_several_texts_of_one_doc_id(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"c{i}" for i in range(80))
+    rows = [(1, a + " one"), (2, "x " + a), (2, b), (2, "short"), (3, b + " " + a), (3, "tiny"), (2, "x " + a)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], DOCS + ", spans int")
+    out = {r.spans: r.text for r in sd.drop_repeats(docs).collect()}
+    assert out == {0: rows[0][1], 1: "x ", 2: b, 3: "short", 5: "tiny", 6: "x "}
+
+
+def test_hot_keys_are_bounded(spark):
+    rows = spark.createDataFrame([(k % 3,) for k in range(600)] + [(k,) for k in range(10, 40)], "g long")
+    assert sorted(r.g for r in sd.hot_keys(rows, "g", 64 * 150).collect()) == [0, 1, 2]
+    assert sd.hot_keys(rows, "g", 64 * 500) is None

@@ -11,9 +11,10 @@ from graphloom.llm._tokens import TOKENIZERS, counter
 DOCS = "doc_id long, text string"
 
 
-def test_counts_are_the_tokenizers():
+@pytest.mark.parametrize("vocabulary", tr.VOCABULARIES)
+def test_counts_are_the_tokenizers(vocabulary):
     rnd = random.Random(0)
-    c = counter(pk.VOCABULARY, TOKENIZERS)
+    c = counter(vocabulary, TOKENIZERS)
     texts = ["".join(rnd.choice("ab C1\n\t .,!é ü×'  \r—") for _ in range(rnd.randint(0, 25))) for _ in range(3000)] + [None, "", "x" * 5000]
     assert c.count(pa.array(texts)).tolist() == [c.slow(t or "") for t in texts]
 
@@ -111,3 +112,20 @@ def test_rollup_edge_cases(spark, tmp_path):
         store.apply_batch(1, spark.createDataFrame([("oops", 1, "a", "x", "v", 1, None)], CHANGES))
     assert store.apply_batch(1, spark.createDataFrame([("insert", 1, "a", "x", "v", None, None)], CHANGES))
     assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(1, 0)]
+
+
+def test_two_versions_and_leftovers(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Énorme text", "a", "x"), (2, None, None, "x")], DOCS + ", source string, lang string")
+    got = {(r.doc_id, r.version): r.tokens for r in tr.counted(docs).collect()}
+    assert got == {(d, v): counter(v).slow(t) for d, t in ((1, "Énorme text"), (2, "")) for v in tr.VOCABULARIES}
+    store = tr.Store(spark, str(tmp_path / "r"))
+    one = spark.createDataFrame([("insert", 1, "a", "x", "v", 5, None)], CHANGES)
+    assert store.apply_batch(0, one)
+    # a writer that saw no commit before another's came first
+    assert not store._write(tr.deltas(one), "batch-0")
+    (tmp_path / "r" / "data-left").mkdir()
+    store.sweep()
+    assert (tmp_path / "r" / "data-left").exists()
+    store.sweep(age=-5)
+    assert not (tmp_path / "r" / "data-left").exists()
+    assert [(r.docs, r.tokens) for r in store.totals().collect()] == [(1, 5)]

@@ -111,3 +111,52 @@ def test_inflected_and_accented_insults_with_some_clean_hits(spark):
     want = {k for k, t in labels if t}
     assert len({k for k in want if k >= 400} & got) >= 0.9 * len([k for k in want if k >= 400])
     assert len(got - want) <= 7
+
+
+def test_short_insults_are_looked_up(spark):
+    """Insults of three letters and fewer, also with signs and blanks in them; longer strings that hold them are not meant."""
+    docs, labels = corpus(500, seed=7)
+    rnd = random.Random(8)
+    docs = [(d, t + (f" {rnd.choice(['zoq', 'zo-q', 'z o q', 'wq'])} end{d}" if d % 5 == 0 else f" zebra{d} zoq{d}el")) for d, t in docs]
+    labels = [(d, int(bool(t) or d % 5 == 0)) for d, t in labels]
+    more = [(9000, "such a z.o.q"), (9001, "zoqqel zoo oq zq w"), (9002, "you wq !"), (9003, "x" * 3_000_000)]
+    got = {r.doc_id: r.word for r in tx.flagged(spark.createDataFrame(docs + more, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    assert got.get(9000) == "zoq" and got.get(9002) == "wq" and 9001 not in got and 9003 not in got
+    assert {d for d in range(0, 500, 5)} <= set(got)
+
+
+def test_sentences():
+    text = "One two. Three? e.g. four! five\nsix... 3.5 seven"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ends = tx.sentence_ends(raw)
+    assert [text[a:b].strip() for a, b in zip([0, *(ends + 1)], [*(ends + 1), len(text)])] == ["One two.", "Three?", "e.g.", "four!", "five", "six...", "3.5 seven"]
+    batch = pa.RecordBatch.from_arrays([pa.array([text, text, "", None]), pa.array([1, 1, 0, 0], pa.int32())], ["text", "toxic"])
+    got = list(zip(*(c.to_pylist() for c in tx._train_words(batch).columns)))
+    assert len(got) == len(set(got)) and {w for w, _, _ in got} >= {b"one", b"two", b"three", b"four"} and {t for _, _, t in got} == {1}
+    by = {w: s for w, s, _ in got}
+    assert by[b"one"] == by[b"two"] != by[b"three"]
+
+
+def test_judge_equals_plain_scores(spark):
+    """The whole operator with its trained machines, each string scored by the kernel's definition."""
+    docs, labels = corpus(400, seed=5)
+    d = spark.createDataFrame(docs, DOCS)
+    machines = tx.train(d, spark.createDataFrame(labels, LABELS))
+    one, every, spared, short = machines
+
+    def value(v, word):
+        f = slow_phi(word)
+        size = np.sqrt(sum(w * w for w in f.values()))
+        return sum(w * v[(ord(a) - 96) * 1024 + (ord(b) - 96) * 32 + ord(c) - 96] for (a, b, c), w in f.items()) / size + v[-1]
+
+    want = {}
+    for k, text in docs:
+        words = {w for w in text.split() if len(w) > 3}
+        sure = {w: value(one, w) for w in words}
+        likely = {w: value(every, w) for w in words if bytes(ord(c) - 96 for c in w) not in spared}
+        hits = [x for x in sure.values() if x > 0] + ([x for x in likely.values() if x > 0] if sum(x > 0 for x in likely.values()) >= tx.PAIR else [])
+        if hits:
+            want[k] = max(hits)
+    got = {k: s for k, s in zip(range(400), tx.judge(machines)(pa.RecordBatch.from_arrays([pa.array([t for _, t in docs])], ["text"])).column(1).to_pylist()) if s > 0}
+    assert not short and set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-3 for k in want)
