@@ -4,10 +4,10 @@ The kernel compares two strings by the letter triples that both contain in order
 spans s letters weighs LAMBDA ** (s - 3), up to SPAN letters. An inserted or a missing letter therefore costs
 only part of the likeness. k(x, y) = <phi(x), phi(y)> / (|phi(x)| |phi(y)|), phi being the triples' weights.
 
-Training, on labelled documents whose sentences inherit the label: the words are counted by class and by the
-different neighbours they were seen beside (copies of one text count once that way), with their accents (those
-of clean text without them too). The witnesses of the toxic class, with copies that have a letter put in, are the words that toxic text
-holds beside more neighbours than chance allows, clean ones being weighed against them, and the words of families
+Training, on the sentences of labelled documents, which inherit the label: the words are counted by class and by the
+different sentences that hold them (copies of one sentence count once), with their accents (those
+of clean text without them too). The witnesses of the toxic class, with copies that have a letter put in, are the words that toxic
+sentences hold more often than chance allows, clean ones being weighed against them, and the words of families
 (words of one beginning or one end) of which that is true even without their most frequent word, so that
 inflected insults count together; the words of clean text are the other class. Landmarks are chosen among the words, their
 kernel matrix gives the Nystroem features, and a linear machine with squared hinge loss is fitted on them.
@@ -21,7 +21,8 @@ count as these. A string with accents is scored with them and without, and the h
 holds some words of some families by chance: a machine of its own has only the witnesses of which clean text holds
 hardly any (SURE), and the others, as far as it is concerned, are clean. A text is toxic if that machine's value of
 a string is above 0, or if those of the machine of all witnesses are for PAIR different strings. Not counted are strings
-that the labelled texts show to be clean though they score above 0, such as the bare stem of a family.
+that the labelled sentences show to be clean (as many clean ones hold it as toxic ones) though they score above 0 with
+either machine, such as the bare stem of a family.
 
 Result of ``flagged``: one row for each toxic document: doc_id, toxic (true), score, word (the string).
 
@@ -45,14 +46,14 @@ LAMBDA, SPAN = 0.6, 6
 SAMPLE = 12_000
 #: Words of clean text, landmarks, and altered copies (a letter put in or doubled) of each witness to train on.
 NEGATIVES, LANDMARKS, ALTERED = 15_000, 256, 6
-#: A word is a witness if that many words seen beside as many neighbours, all toxic by chance, are less likely.
+#: A word is a witness if that many words seen in as many sentences, all toxic by chance, are less likely.
 CHANCE = 0.01
 PARTS = 4
 #: Rounds in which clean words of the sample that score above NEAR are added to the clean class (HARD at most a round).
 MINED, NEAR, HARD = 3, -0.5, 5_000
-#: A word with that share of toxic neighbours or more, some clean ones too, is of neither class.
+#: A word with that share of toxic sentences or more, some clean ones too, is of neither class.
 UNSURE = 0.9
-#: Least toxic share of a witness's or a family's neighbours, and the share from which one such string makes a text toxic.
+#: Least toxic share of a witness's or a family's sentences, and the share from which one such string makes a text toxic.
 LIKELY, SURE = 0.6, 0.99
 #: Different strings of likely witnesses that make a text toxic.
 PAIR = 2
@@ -90,10 +91,9 @@ _SYM, _LATIN = _table()
 OFFSETS = [(a, b, LAMBDA ** (b - 2)) for b in range(2, SPAN) for a in range(1, b)]
 
 
-def strings(offsets: np.ndarray, raw: np.ndarray, i: int, j: int, accents: bool = False, places: bool = False) -> tuple[np.ndarray, ...]:
-    """(symbols, start of each string, text of each string) of the texts i to j, and with places the byte where each
-    starts. With accents, letters that have one are other symbols than those without; the strings and their lengths
-    are the same."""
+def strings(offsets: np.ndarray, raw: np.ndarray, i: int, j: int, accents: bool = False) -> tuple[np.ndarray, ...]:
+    """(symbols, start of each string, text of each string) of the texts i to j. With accents also the symbols of which
+    letters that have an accent are others than those without, and the byte where each string starts."""
     lo, hi = int(offsets[i]), int(offsets[j])
     data = raw[lo:hi].tobytes()
     sym = np.frombuffer(data.translate(_SYM), np.uint8)
@@ -106,7 +106,9 @@ def strings(offsets: np.ndarray, raw: np.ndarray, i: int, j: int, accents: bool
     cut = sym == 0
     keep = (sym != 31) & ~cut
     if accents:
-        sym[after] = np.where(keep[after] & (byte[after] >= 0x80), np.frombuffer(_SYM, np.uint8)[byte[after]], sym[after])
+        kept = sym.copy()
+        kept[after] = np.where(keep[after] & (byte[after] >= 0x80), np.frombuffer(_SYM, np.uint8)[byte[after]], sym[after])
+        kept = kept[keep]
     breaks = cut.astype(np.int64)
     starts = off[off < len(sym)]
     np.add.at(breaks, starts, 1)
@@ -114,13 +116,13 @@ def strings(offsets: np.ndarray, raw: np.ndarray, i: int, j: int, accents: bool
     place = np.flatnonzero(keep)
     sym = sym[keep]
     if not len(sym):
-        return (sym, *[np.zeros(0, np.int64)] * (3 if places else 2))
+        return (sym, *[np.zeros(0, np.int64)] * 2, *([sym, np.zeros(0, np.int64)] if accents else []))
     first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     text = np.searchsorted(offsets[i : j + 1] - lo, place[first], "right") - 1
     size = np.diff(np.append(first, len(sym)))
     join = np.concatenate([[False], (size[1:] == 1) & (size[:-1] == 1) & (text[1:] == text[:-1])])
     out = sym, first[~join], text[~join]
-    return (*out, place[out[1]]) if places else out
+    return (*out, kept, place[out[1]]) if accents else out
 
 
 def triples(sym: np.ndarray, first: np.ndarray):
@@ -236,33 +238,41 @@ def altered(words: list[bytes], rng) -> list[bytes]:
 
 
 def score(v: np.ndarray, sym: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The machine's value for each string. Strings that cannot reach 0 have a bound of it instead, also below 0.
+    """The machine's value for each string. Strings that cannot reach 0 have a bound of it instead, also below 0."""
+    return scores([v], sym, first)[0]
+
+
+def scores(machines: list[np.ndarray], sym: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """``score`` for several machines, in one pass over the triples.
 
     |phi| is at least the root of the sum of the triples' squared weights, which a string's length gives; only
     strings that stay above 0 with that bound need their exact norm."""
     n = len(first)
     if not n:
-        return np.zeros(0)
-    total = np.zeros(len(sym), np.float32)
-    w32 = v[:-1].astype(np.float32)
+        return [np.zeros(0) for _ in machines]
+    totals = [np.zeros(len(sym), np.float32) for _ in machines]
+    tables = [v[:-1].astype(np.float32) for v in machines]
     for index, w, ok in triples(sym, first):
-        total += np.where(ok, w32[index] * np.float32(w), np.float32(0))
-    sums = np.add.reduceat(total, first).astype(float)
+        weight = ok * np.float32(w)
+        for total, table in zip(totals, tables):
+            total += table[index] * weight
     size = np.diff(np.append(first, len(sym)))
     square = np.zeros(size.max() + 1)
     for _, b, w in OFFSETS:
         square += w * w * np.maximum(np.arange(len(square)) - b, 0)
-    low = np.sqrt(square)[size]
-    out = np.where(low > 0, sums / np.maximum(low, 1e-12), -1.0)
-    out = np.where(low > 0, out + v[-1], -1.0)
-    out[size <= SHORT] = -1.0  # these are looked up
-    hot = np.flatnonzero(out > 0)
-    if len(hot):
-        ends = np.append(first[1:], len(sym))
-        pieces = [sym[first[k] : ends[k]] for k in hot]
-        starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]])
-        out[hot] = sums[hot] / norms(np.concatenate(pieces), starts) + v[-1]
-    return out
+    low = np.maximum(np.sqrt(square)[size], 1e-12)
+    long, outs = size > SHORT, []  # the short ones are looked up
+    for v, total in zip(machines, totals):
+        sums = np.add.reduceat(total, first).astype(float)
+        out = np.where(long, sums / low + v[-1], -1.0)
+        hot = np.flatnonzero(out > 0)
+        if len(hot):
+            ends = np.append(first[1:], len(sym))
+            pieces = [sym[first[k] : ends[k]] for k in hot]
+            starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]])
+            out[hot] = sums[hot] / norms(np.concatenate(pieces), starts) + v[-1]
+        outs.append(out)
+    return outs
 
 
 def sentence_ends(raw: np.ndarray) -> np.ndarray:
@@ -279,10 +289,9 @@ def _train_words(batch: pa.RecordBatch) -> pa.RecordBatch:
     toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32)
     words, sentences, classes = [], [], []
     for i, j in chunks(offsets):
-        sym, first, text, place = strings(offsets, raw, i, j, accents=True, places=True)
+        plain, first, text, sym, place = strings(offsets, raw, i, j, accents=True)
         if not len(first):
             continue
-        plain = strings(offsets, raw, i, j)[0]
         ends, own = np.append(first[1:], len(sym)), hashes(sym, first)
         number = np.searchsorted(sentence_ends(raw[offsets[i] : offsets[j]]), place)
         new = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (text[1:] != text[:-1])]))
@@ -317,7 +326,7 @@ def _unsymbol(word) -> bytes:
 
 
 def beyond_chance(t: str, c: str, share: float, kinds: int) -> str:
-    """SQL: of t + c neighbours more are toxic, with that share of all, than chance gives any of ``kinds`` words.
+    """SQL: of t + c sentences more are toxic, with that share of all, than chance gives any of ``kinds`` words.
 
     Chernoff's bound of the binomial tail; with c = 0 it is share ** t."""
     n = f"({t} + {c})"
@@ -366,9 +375,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machines
     if seen and clean:
         one = every = mined(fair, list(seen), clean, [])
         if likely:
-            shown = arrow_map(fair.filter("t <= c").select("word"), _hard(every), "word binary, s double").filter("s > 0")
-            spared = frozenset(bytes(c - 96 for c in r.word) for r in shown.orderBy(F.desc("s"), "word").limit(HARD).collect())
             one = mined(fair, sure, clean, likely) if sure else never
+        clear = fair.filter("t <= c").select("word")
+        shown = arrow_map(clear, _hard(every), "word binary, s double").unionByName(arrow_map(clear, _hard(one), "word binary, s double")).filter("s > 0")
+        spared = frozenset(bytes(c - 96 for c in r.word) for r in shown.select("word").distinct().collect())
     discard(words, chosen, fair)
     return (one, every, spared, short) if seen and clean or short else None
 
@@ -399,17 +409,19 @@ def _hard(v: np.ndarray):
     return run
 
 
-def both_ways(v: np.ndarray, kept: np.ndarray, plain: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The higher value of each string with its accents and without."""
-    out = score(v, kept, first)
+def both_ways(machines: list[np.ndarray], kept: np.ndarray, plain: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each machine the values of the strings with their accents, and the higher ones of these and those without."""
+    own = scores(machines, kept, first)
+    outs = [o.copy() for o in own]
     ends = np.append(first[1:], len(kept))
     other = np.flatnonzero(np.add.reduceat(kept != plain, first)) if len(first) else first
     if len(other):
         size = (ends - first)[other]
         start = np.cumsum(size) - size
         at = np.repeat(first[other] - start, size) + np.arange(size.sum())
-        out[other] = np.maximum(out[other], score(v, plain[at], start))
-    return out
+        for out, more in zip(outs, scores(machines, plain[at], start)):
+            out[other] = np.maximum(out[other], more)
+    return own, outs
 
 
 def _key(string: bytes) -> int:
@@ -438,15 +450,22 @@ def judge(machines: Machines):
         top = np.full(batch.num_rows, -1.0)
         word: list[str | None] = [None] * batch.num_rows
         for i, j in chunks(offsets):
-            kept, first, text = strings(offsets, raw, i, j, accents=True)
-            plain = strings(offsets, raw, i, j)[0]
+            plain, first, text, kept, _ = strings(offsets, raw, i, j, accents=True)
             ends = np.append(first[1:], len(kept))
-            sure = both_ways(one, kept, plain, first)
-            likely = sure if every is one else both_ways(every, kept, plain, first)
+            own, high = both_ways([one] if every is one else [one, every], kept, plain, first)
+
+            def hits(machine: int):
+                """(number, string, value) of the strings above 0, but for those known to be clean."""
+                for k in np.flatnonzero(high[machine] > 0).tolist():
+                    string, value = kept[first[k] : ends[k]].tobytes(), float(high[machine][k])
+                    if plain[first[k] : ends[k]].tobytes() in spared:
+                        value = float(own[machine][k])
+                    if value > 0 and string not in spared:
+                        yield k, string, value
+
             found: dict[int, dict[bytes, tuple[float, int]]] = {}
-            for k in np.flatnonzero(likely > 0):
-                if (string := kept[first[k] : ends[k]].tobytes()) not in spared:
-                    found.setdefault(i + int(text[k]), {})[string] = (float(likely[k]), int(k))
+            for k, string, value in hits(-1):
+                found.setdefault(i + int(text[k]), {})[string] = (value, k)
             best: dict[int, tuple[float, int]] = {}
             for k in looked_up(kept, first, ends, keys):
                 t, string = i + int(text[k]), kept[first[k] : ends[k]].tobytes()
@@ -456,9 +475,9 @@ def judge(machines: Machines):
             for t, x in found.items():
                 if len(x) >= PAIR:
                     best[t] = max([best.get(t, (-1.0, 0)), *x.values()])
-            for k in np.flatnonzero(sure > 0):
+            for k, _, value in hits(0):
                 t = i + int(text[k])
-                best[t] = max(best.get(t, (-1.0, 0)), (float(sure[k]), int(k)))
+                best[t] = max(best.get(t, (-1.0, 0)), (value, k))
             for t, (s, k) in best.items():
                 if s > top[t]:
                     top[t] = s

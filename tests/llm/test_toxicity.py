@@ -152,8 +152,8 @@ def test_judge_equals_plain_scores(spark):
     want = {}
     for k, text in docs:
         words = {w for w in text.split() if len(w) > 3}
-        sure = {w: value(one, w) for w in words}
-        likely = {w: value(every, w) for w in words if bytes(ord(c) - 96 for c in w) not in spared}
+        words = {w for w in words if bytes(ord(c) - 96 for c in w) not in spared}
+        sure, likely = {w: value(one, w) for w in words}, {w: value(every, w) for w in words}
         hits = [x for x in sure.values() if x > 0] + ([x for x in likely.values() if x > 0] if sum(x > 0 for x in likely.values()) >= tx.PAIR else [])
         if hits:
             want[k] = max(hits)
