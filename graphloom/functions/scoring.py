@@ -45,7 +45,7 @@ def file_relevance(path: Column, words: list[str], backend: bool = False) -> Col
 
 
 #: (score, regular expression on a symbol's lower-cased name); a table, so that a user can set their own
-SYMBOL_BONUS = [(10.0, "^cachedb$"), (6.0, "initialize|open"), (5.0, "config"), (4.5, "search_(document|vector)"), (3.0, "clear|delete|insert|upsert"), (-2.0, "count|stats")]
+SYMBOL_BONUS = [(6.0, "initialize|open"), (5.0, "config"), (3.0, "clear|delete|insert|upsert"), (-2.0, "count|stats")]
 
 
 def symbol_relevance(name: Column, signature: Column, kind: Column, words: list[str], bonus=SYMBOL_BONUS) -> Column:

@@ -117,17 +117,20 @@ def callees(sites: DataFrame, symbols: DataFrame, visible: DataFrame) -> DataFra
 
     sites: site, path, callee; symbols: symbol_id, path, name, start_line; visible: path, dst_path, names (array; an
     empty one shows all names, "* as x" counts as x)."""
-    keyed = symbols.select("symbol_id", F.col("path").alias("sym_path"), "name", "start_line", F.explode(F.array_distinct(F.array("name", last_segment(F.col("name"))))).alias("callee")).dropDuplicates(["callee", "symbol_id", "sym_path", "name"])
-    match = sites.join(keyed, "callee").select("site", "path", "callee", "symbol_id", "sym_path", "name", "start_line")
-    own = match.filter("path = sym_path").groupBy("site").agg(F.min_by("symbol_id", F.struct("start_line", "name", "symbol_id")).alias("s"), F.lit("same_file").alias("strategy"))
-    far = match.join(own.select("site"), "site", "left_anti")
+    keyed = symbols.select("symbol_id", F.col("path").alias("sym_path"), "name", "start_line", F.explode(F.array_distinct(F.array("name", last_segment(F.col("name"))))).alias("callee"))
+    # names are summed up before they meet the sites, so a site meets one row, however many symbols have its name
+    in_file = keyed.groupBy("sym_path", "callee").agg(F.min_by("symbol_id", F.struct("start_line", "name", "symbol_id")).alias("first"), F.min("symbol_id").alias("lo"), F.max("symbol_id").alias("hi"))
+    by_name = in_file.groupBy("callee").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    asked = sites.select("path", "callee").distinct()
+    own = asked.join(in_file.select(F.col("sym_path").alias("path"), "callee", "first"), ["path", "callee"]).select("path", "callee", F.col("first").alias("symbol_id"), F.lit("same_file").alias("strategy"))
+    far = asked.join(own, ["path", "callee"], "left_anti").join(by_name, "callee")
+    unique = far.filter("lo = hi").select("path", "callee", F.col("lo").alias("symbol_id"), F.lit("unique_global").alias("strategy"))
     names = F.transform("names", lambda x: F.regexp_replace(x, r"^\* as ", ""))
     seen = visible.select("path", F.col("dst_path").alias("sym_path"), names.alias("names"))
-    imported = far.join(seen, ["path", "sym_path"]).filter((F.size("names") == 0) | F.array_contains("names", F.col("callee"))).select("site", "symbol_id").distinct()
-    only = lambda df, how: df.groupBy("site").agg(F.count_distinct("symbol_id").alias("n"), F.min("symbol_id").alias("s")).filter("n = 1").select("site", "s", F.lit(how).alias("strategy"))
-    unique = only(far, "unique_global")
-    by_import = only(imported.join(unique.select("site"), "site", "left_anti"), "import_resolved")
-    return own.unionByName(unique).unionByName(by_import).select("site", F.col("s").alias("symbol_id"), "strategy")
+    shown = far.filter("lo != hi").select("path", "callee").join(seen, "path").filter((F.size("names") == 0) | F.array_contains("names", F.col("callee")))
+    met = shown.join(in_file.select("sym_path", "callee", "lo", "hi"), ["sym_path", "callee"]).groupBy("path", "callee").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    imported = met.filter("lo = hi").select("path", "callee", F.col("lo").alias("symbol_id"), F.lit("import_resolved").alias("strategy"))
+    return sites.select("site", "path", "callee").join(own.unionByName(unique).unionByName(imported), ["path", "callee"]).select("site", "symbol_id", "strategy")
 
 
 def callers(sites: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, scoring
+from . import lookup
 
 #: (name, severity, from glob, to glob, path glob, most lines)
 DEFAULT_RULES = [
@@ -44,7 +45,10 @@ def suggested_tests(files: DataFrame, symbols: DataFrame, edges: DataFrame, targ
     direct = edges.filter("kind = 'imports'").select("src", "dst").distinct().join(goal.select(F.col("node").alias("dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("imports"))
     calls = edges.filter("kind = 'calls'").join(goal_syms.select(F.col("node").alias("dst")), "dst", "left_semi").join(tests.select(F.col("node").alias("src"), "name", "path"), "src").groupBy("path").agg(F.count("*").alias("calls"), F.array_sort(F.collect_set("name")).alias("names"))
     words = goal.select(F.explode(scoring.terms(F.col("path"))).alias("w")).union(goal_syms.select(F.explode(scoring.terms(F.col("name"))))).distinct()
-    over = cand.join(words, F.lower("path").contains(F.col("w"))).groupBy("path").agg(F.count("*").alias("overlap"))
+    # a path holds a word only if it holds the word's first two letters: those are the key that they are joined on
+    starts = cand.select("path", F.lower("path").alias("low")).distinct().withColumn("at", F.explode(F.sequence(F.lit(1), F.length("low"))))
+    starts = starts.select("path", "low", F.explode(F.array_distinct(F.array(F.substring("low", F.col("at"), F.lit(1)), F.substring("low", F.col("at"), F.lit(2))))).alias("head")).distinct()
+    over = starts.join(words.withColumn("head", F.substring("w", 1, 2)), "head").filter(F.col("low").contains(F.col("w"))).groupBy("path").agg(F.count("*").alias("overlap"))
     mods = goal.select(paths.module(F.col("path")).alias("module")).distinct().withColumn("same", F.lit(1.5))
     rows = cand.join(direct, "node", "left").join(calls, "path", "left").join(over, "path", "left").withColumn("module", paths.module(F.col("path"))).join(mods, "module", "left")
     zero = F.lit(0)
@@ -113,11 +117,10 @@ def context_pack(files: DataFrame, symbols: DataFrame, imports: DataFrame, task:
     place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("value"), "name"))
     label = F.concat(F.col("name"), F.lit(" L"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.coalesce(F.concat(F.lit(" - "), "signature"), F.lit("")))
     syms = near.withColumn("value", value).withColumn("place", place).groupBy("path").agg(F.array_sort(F.collect_list(F.when(F.col("place") <= per_file, F.struct("place", label.alias("label"))))).alias("s"), F.greatest(F.count("*") - per_file, F.lit(0)).alias("omitted"))
-    deps = imports.groupBy(F.col("src_path").alias("path")).agg(F.array_sort(F.collect_set("dst_path")).alias("deps"))
+    chains = lookup.chains(imports.join(F.broadcast(best.select(F.col("path").alias("src_path"))), "src_path", "left_semi"))
     rdeps = imports.groupBy(F.col("dst_path").alias("path")).agg(F.array_sort(F.collect_set("src_path")).alias("importers"))
-    rows = best.join(syms, "path", "left").join(deps, "path", "left").join(rdeps, "path", "left")
-    chain = F.when(F.col("deps").isNotNull(), F.concat_ws(" -> ", F.array(F.col("path")), "deps"))
-    return rows.select("path", "score", F.transform("s", lambda x: x["label"]).alias("symbols"), F.coalesce("omitted", F.lit(0)).alias("omitted"), chain.alias("dependency_chain"), "importers").orderBy(F.desc("score"), "path")
+    rows = best.join(syms, "path", "left").join(chains, "path", "left").join(rdeps, "path", "left")
+    return rows.select("path", "score", F.transform("s", lambda x: x["label"]).alias("symbols"), F.coalesce("omitted", F.lit(0)).alias("omitted"), "dependency_chain", "importers").orderBy(F.desc("score"), "path")
 
 
 def confidence(found: int) -> str:

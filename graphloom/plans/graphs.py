@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-from ..operators import graph, resolve, review, search
+from ..operators import graph, lookup, resolve, review, search
+from ..sources import sinks
 from ..sources.tables import FILES, PART_EDGES, files, part_edges, read
+from .code import stored_index
 
 QUERIES, SQL = {}, {}
 
@@ -127,20 +129,14 @@ def edge_query_out(spark, d):
   left join (select src, array_to_string(list_sort(list(distinct dst)), ',') as imports from e group by 1) o on p_partkey = o.src
   left join (select dst, array_to_string(list_sort(list(distinct src)), ',') as importers from e where src <> dst group by 1) i on p_partkey = i.dst""")
 def neighborhood(spark, d):
-    e = part_edges(spark, d)
-    join = lambda c: F.array_join(F.array_sort(F.collect_set(c)).cast("array<string>"), ",")
-    out = e.groupBy(F.col("src").alias("node")).agg(join("dst").alias("imports"))
-    into = e.filter("src != dst").groupBy(F.col("dst").alias("node")).agg(join("src").alias("importers"))
-    rows = _nodes(spark, d).select("node").join(out, "node", "left").join(into, "node", "left")
-    return rows.select("node", F.coalesce("imports", F.lit("")).alias("imports"), F.coalesce("importers", F.lit("")).alias("importers"))
+    rows = lookup.neighborhood(_nodes(spark, d), part_edges(spark, d))
+    return rows.select("node", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("imports", "importers")])
 
 
 @query(f"""select distinct src as node from ({EDGES}) where dst in (select p_partkey from part where p_size = 1) and src not in (select p_partkey from part where p_size = 1)""")
 def diff_impact(spark, d):
-    changed = read(spark, d, "part").filter("p_size = 1").select("p_partkey")
-    e = part_edges(spark, d)
-    hit = e.join(changed, e["dst"] == changed["p_partkey"], "left_semi").select(F.col("src").alias("node")).distinct()
-    return hit.join(changed, hit["node"] == changed["p_partkey"], "left_anti")
+    changed = read(spark, d, "part").filter("p_size = 1").select(F.col("p_partkey").alias("node"))
+    return lookup.diff_impact(part_edges(spark, d), changed)
 
 
 @query(f"""with e as materialized ({EDGES}), f as (select dst, count(*) n from e group by 1) select bucket, cast(place as integer) as place, node from (
@@ -187,9 +183,8 @@ def callee_cascade(spark, d):
 
 @query("""select name, min(id) as symbol_id from (select p_partkey as id, p_name as name from part union all select s_suppkey, s_name from supplier) group by 1 having count(distinct id) = 1""")
 def unique_global(spark, d):
-    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return p.union(s).groupBy("name").agg(F.min("id").alias("symbol_id"), F.count_distinct("id").alias("n")).filter("n = 1").drop("n")
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"))
+    return lookup.unique_names(p.union(read(spark, d, "supplier").select("s_suppkey", "s_name")))
 
 
 @query("""select o_orderkey as import_id, 'pkg' || (o_orderkey % 50) as src_path, case when (o_orderkey % 40) % 2 = 0 then 'src/m' || (o_orderkey % 40) || '.ts' else 'src/m' || (o_orderkey % 40) || '/index.ts' end as dst_path from orders""")
@@ -215,8 +210,8 @@ def _bm25_sql(limit: int) -> str:
 
 @query(_bm25_sql(20))
 def bm25_topk(spark, d):
-    found = search.bm25(read(spark, d, "documents"), BM25_QUERY, 20, "doc_id", "text")
-    return found.select("doc_id", F.round("score", 4).alias("score"))
+    found = stored_index(spark, d).bm25(BM25_QUERY, 20)
+    return found.select(F.col("key").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
 @query("""select p_partkey as node, cast(s as double) as score from (select p_partkey, case when contains(lower(p_name || ' ' || p_brand || ' ' || p_type || ' part'), 'brand part') then 5.0 else 0.0 end
@@ -317,22 +312,9 @@ def context_budget(spark, d):
 def export_nodes_edges(spark, d):
     key = lambda p, c: F.concat(F.lit(p + ":"), F.col(c).cast("string"))
     c, o, li = read(spark, d, "customer"), read(spark, d, "orders"), read(spark, d, "lineitem")
-    own = o.join(c.select("c_custkey"), o["o_custkey"] == F.col("c_custkey")).select(key("file", "c_custkey").alias("id"), key("symbol", "o_orderkey").alias("target"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
-    calls = li.join(c.select("c_custkey"), li["l_partkey"] == F.col("c_custkey"), "left_semi").select(key("symbol", "l_orderkey"), key("file", "l_partkey"), F.lit("calls"), 1 - F.col("l_discount"))
-    return own.union(calls)
-
-
-@query("""select source, string_agg(path, ' -> ' order by doc_id) as chain from (select source, doc_id, 'doc_' || doc_id as path from documents) group by 1""")
-def dependency_chains(spark, d):
-    rows = read(spark, d, "documents").select("source", "doc_id")
-    path = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: F.concat(F.lit("doc_"), x.cast("string")))
-    return rows.groupBy("source").agg(F.array_join(path, " -> ").alias("chain"))
-
-
-@query("select user_id, event_type, cast(n as bigint) as n, ts as last_ts from (select user_id, event_type, ts, count(*) over (partition by user_id, event_type) n, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) r from events) where r = 1")
-def incremental_state(spark, d):
-    """The state that an incremental reader of the change stream arrives at: the last event of each key."""
-    e = read(spark, d, "events")
-    return e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
-
-
+    own = c.select(key("file", "c_custkey").alias("node"), F.col("c_name").alias("path"), F.lit("x").alias("language"))
+    symbols = o.select(key("symbol", "o_orderkey").alias("node"), F.lit("s").alias("name"), F.lit("function").alias("kind"), F.lit("p").alias("path"))
+    held = o.select(key("file", "o_custkey").alias("src"), key("symbol", "o_orderkey").alias("dst"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
+    calls = li.select(key("symbol", "l_orderkey"), key("file", "l_partkey"), F.lit("calls"), 1 - F.col("l_discount"))
+    _, edges = sinks.export_graph(own, symbols, held.union(calls))
+    return edges.select(F.col("src").alias("id"), F.col("dst").alias("target"), "kind", "confidence")

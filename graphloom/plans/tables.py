@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, scoring
+from ..operators import extract, lookup
+from ..sources import repo, sinks
 from ..sources.tables import FILES, files, read
+from ..streaming import watch
 
 QUERIES, SQL = {}, {}
 
@@ -23,38 +26,38 @@ def query(sql: str | None = None):
 
 @query(f"select language, cast(count(*) as bigint) as files from ({FILES}) where language <> '' group by 1")
 def file_language_stats(spark: SparkSession, d: str) -> DataFrame:
-    return files(spark, d).filter("language <> ''").groupBy("language").agg(F.count("*").alias("files"))
+    return lookup.language_stats(files(spark, d))
 
 
 @query(f"select source as module, cast(count(*) as bigint) as files, cast(sum(loc) as bigint) as loc from ({FILES}) group by 1")
 def module_rollup(spark, d):
-    return files(spark, d).groupBy(paths.module(F.col("path")).alias("module")).agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
+    return lookup.modules(files(spark, d))
 
 
 @query("""select (select count(*) from documents) as files, (select count(*) from orders) as symbols, (select count(*) from lineitem) as call_sites,
   (select count(*) from nation) as edges""")
 def graph_counts(spark, d):
-    n = lambda t, a: read(spark, d, t).agg(F.count("*").alias(a))
-    return n("documents", "files").crossJoin(n("orders", "symbols")).crossJoin(n("lineitem", "call_sites")).crossJoin(n("nation", "edges"))
+    n = lambda t: read(spark, d, t)
+    return lookup.counts(files=n("documents"), symbols=n("orders"), call_sites=n("lineitem"), edges=n("nation"))
 
 
 @query(f"select path, language, size_bytes from ({FILES}) where language = 'en' and starts_with(path, 'src1') order by path limit 200")
 def list_files_filtered(spark, d):
-    return files(spark, d).filter("language = 'en'").filter(F.col("path").startswith("src1")).select("path", "language", "size_bytes").orderBy("path").limit(200)
+    return lookup.list_files(files(spark, d), "en", "src1").select("path", "language", "size_bytes")
 
 
 @query("""select c_name as path, o_orderkey as symbol_id, o_orderpriority as kind from orders join customer on o_custkey = c_custkey
   where o_orderpriority = '1-URGENT' order by c_name, o_orderkey limit 300""")
 def list_symbols_filtered(spark, d):
     o, c = read(spark, d, "orders"), read(spark, d, "customer")
-    rows = o.filter("o_orderpriority = '1-URGENT'").join(c, o["o_custkey"] == c["c_custkey"])
-    return rows.select(F.col("c_name").alias("path"), F.col("o_orderkey").alias("symbol_id"), F.col("o_orderpriority").alias("kind")).orderBy("path", "symbol_id").limit(300)
+    symbols = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("c_name").alias("path"), F.col("o_orderkey").alias("symbol_id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("start_line"), F.lit("").alias("name"))
+    return lookup.list_symbols(symbols, kind="1-URGENT").select("path", "symbol_id", "kind")
 
 
 @query("select p_partkey as node, p_name as name, p_brand as path from part where contains(lower(p_name), '1') or contains(lower(p_brand), '1')")
 def selector_substring(spark, d):
-    p = read(spark, d, "part")
-    return p.filter(F.lower("p_name").contains("1") | F.lower("p_brand").contains("1")).select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"))
+    nodes = read(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"))
+    return lookup.select_nodes(nodes, "1")
 
 
 @query("select o_orderkey as node, case o_orderstatus when 'O' then 'pub' when 'F' then 'export' else 'private' end as visibility from orders where o_orderstatus in ('O', 'F')")
@@ -87,40 +90,44 @@ def ignore_filter(spark, d):
     return files(spark, d).filter(keep).select("file_id", "path")
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as edges from their orders to their parts."""
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+
+
 @query("""select l_partkey as node, cast(count(*) as bigint) as fan_in from lineitem group by 1 order by fan_in desc, node limit 10""")
 def fan_in_top10(spark, d):
-    return read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.count("*").alias("fan_in")).orderBy(F.desc("fan_in"), "node").limit(10)
+    return lookup.top_degrees(lookup.fan_in(_lines(spark, d)))
 
 
 @query("select l_orderkey as node, cast(count(*) as bigint) as fan_out from lineitem group by 1 order by fan_out desc, node limit 10")
 def fan_out_top10(spark, d):
-    return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("node")).agg(F.count("*").alias("fan_out")).orderBy(F.desc("fan_out"), "node").limit(10)
+    return lookup.top_degrees(lookup.fan_out(_lines(spark, d)))
 
 
 @query("""select l_suppkey as node, cast(count(*) as bigint) as fan_in, cast(count(distinct l_partkey) as bigint) as parts from lineitem group by 1 having count(*) > 5""")
 def degree_having(spark, d):
-    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.count("*").alias("fan_in"), F.count_distinct("l_partkey").alias("parts")).filter("fan_in > 5")
+    edges = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("dst"), F.col("l_partkey").alias("part"))
+    return lookup.fan_in(edges, "part").filter("fan_in > 5")
 
 
 @query("""select p_partkey as node, cast(count(l_partkey) as bigint) as incoming, cast(count(l_partkey) filter (where l_returnflag = 'R') as bigint) as returned
   from part left join lineitem on p_partkey = l_partkey group by 1""")
 def reference_count(spark, d):
-    refs = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("i"), F.count_if(F.col("l_returnflag") == "R").alias("r"))
-    p = read(spark, d, "part")
-    zero = F.lit(0).cast("long")
-    return p.join(refs, p["p_partkey"] == refs["l_partkey"], "left").select(F.col("p_partkey").alias("node"), F.coalesce("i", zero).alias("incoming"), F.coalesce("r", zero).alias("returned"))
+    edges = read(spark, d, "lineitem").select(F.col("l_partkey").alias("dst"), (F.col("l_returnflag") == "R").alias("returned"))
+    return lookup.references(read(spark, d, "part").select(F.col("p_partkey").alias("node")), edges, "returned")
 
 
 @query("""select distinct l_partkey as dst from lineitem join orders on l_orderkey = o_orderkey where o_custkey = 7""")
 def deps_distinct(spark, d):
-    o = read(spark, d, "orders").filter("o_custkey = 7")
-    return read(spark, d, "lineitem").join(o, F.col("l_orderkey") == o["o_orderkey"], "left_semi").select(F.col("l_partkey").alias("dst")).distinct()
+    nodes = read(spark, d, "orders").filter("o_custkey = 7").select(F.col("o_orderkey").alias("node"))
+    return lookup.dependencies(_lines(spark, d), nodes)
 
 
 @query("select distinct o_custkey as src from orders join lineitem on l_orderkey = o_orderkey where l_partkey = 11")
 def rdeps_distinct(spark, d):
-    hit = read(spark, d, "lineitem").filter("l_partkey = 11")
-    return read(spark, d, "orders").join(hit, F.col("o_orderkey") == hit["l_orderkey"], "left_semi").select(F.col("o_custkey").alias("src")).distinct()
+    edges = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return lookup.dependents(edges, spark.createDataFrame([(11,)], "node long"))
 
 
 @query("select l.doc_id, d.source from labels l join documents d on l.doc_id = d.doc_id where l.toxic = 1 and d.lang = 'en'")
@@ -129,21 +136,23 @@ def semi_changed(spark, d):
     return lab.join(docs.filter("lang = 'en'").select("doc_id", "source"), "doc_id").select("doc_id", "source")
 
 
-@query("select c_custkey as node, c_mktsegment as kind from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select vec_id as node, label as kind from embeddings where vec_id in (select doc_id from documents where doc_id % 3 <> 0)")
 def prune_orphans(spark, d):
-    o = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return read(spark, d, "customer").join(o, "c_custkey", "left_anti").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("kind"))
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("kind"))
+    return sinks.prune(vectors, read(spark, d, "documents").filter("doc_id % 3 != 0").select(F.col("doc_id").alias("node")))
 
 
 @query("select doc_id from documents except select doc_id from labels")
 def stale_except(spark, d):
-    return read(spark, d, "documents").select("doc_id").subtract(read(spark, d, "labels").select("doc_id"))
+    path = lambda t: read(spark, d, t).select(F.col("doc_id").alias("path"))
+    return watch.vanished(path("labels"), path("documents")).select(F.col("path").alias("doc_id"))
 
 
 @query("select doc_id from labels where toxic = 1 union select doc_id from labels where quality = 0")
 def change_union(spark, d):
-    lab = read(spark, d, "labels")
-    return lab.filter("toxic = 1").select("doc_id").union(lab.filter("quality = 0").select("doc_id")).distinct()
+    lab = read(spark, d, "labels").withColumn("path", F.concat(F.lit("./d"), F.col("doc_id").cast("string")))
+    both = repo.union_of(lab.filter("toxic = 1"), lab.filter("quality = 0"))
+    return both.select(F.expr("cast(substring(path, 2) as bigint)").alias("doc_id"))
 
 
 @query("select doc_id from labels where toxic = 1 intersect select doc_id from documents where source = 'src0'")
@@ -154,32 +163,30 @@ def change_intersect(spark, d):
 @query("""select o_orderkey as path, cast(coalesce(added, 0) as bigint) as lines_added, cast(coalesce(deleted, 0) as bigint) as lines_deleted from orders left join
   (select l_orderkey, count(*) filter (where l_returnflag = 'N') as added, count(*) filter (where l_returnflag = 'R') as deleted from lineitem group by 1) on o_orderkey = l_orderkey""")
 def numstat_left_join(spark, d):
-    stat = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "N").alias("a"), F.count_if(F.col("l_returnflag") == "R").alias("x"))
-    o = read(spark, d, "orders")
-    zero = F.lit(0).cast("long")
-    return o.join(stat, o["o_orderkey"] == stat["l_orderkey"], "left").select(F.col("o_orderkey").alias("path"), F.coalesce("a", zero).alias("lines_added"), F.coalesce("x", zero).alias("lines_deleted"))
+    stat = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.count_if(F.col("l_returnflag") == "N").alias("lines_added"), F.count_if(F.col("l_returnflag") == "R").alias("lines_deleted"))
+    return repo.with_sizes(read(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.lit("M").alias("status")), stat).drop("status")
 
 
 @query("""select doc_id as file_id, n_chars as size, 'new' as version from documents where doc_id in (select doc_id from labels)
   union all select doc_id, n_chars + 1, 'old' from documents where doc_id not in (select doc_id from labels)""")
 def upsert_merge(spark, d):
+    row = lambda df, size, version: df.select(F.col("doc_id").alias("file_id"), size.alias("size"), F.lit(version).alias("version"))
     docs = read(spark, d, "documents")
-    new = docs.join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("file_id"), F.col("n_chars").alias("size"), F.lit("new").alias("version"))
-    old = docs.select(F.col("doc_id").alias("file_id"), (F.col("n_chars") + 1).alias("size"), F.lit("old").alias("version"))
-    return new.unionByName(old.join(new, "file_id", "left_anti"))
+    new = row(docs.join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), F.col("n_chars"), "new")
+    return sinks.upsert(row(docs, F.col("n_chars") + 1, "old"), new, ["file_id"])
 
 
 @query("""select l_partkey as path, l_suppkey as owner, cast(n as bigint) as commits from (select l_partkey, l_suppkey, count(*) n,
   row_number() over (partition by l_partkey order by count(*) desc, l_suppkey) r from lineitem group by 1, 2) where r = 1""")
 def owner_top1(spark, d):
-    n = read(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-    best = n.groupBy("l_partkey").agg(F.max(F.struct("n", (-F.col("l_suppkey")).alias("s"))).alias("b"))
-    return best.select(F.col("l_partkey").alias("path"), (-F.col("b.s")).alias("owner"), F.col("b.n").alias("commits"))
+    commits = read(spark, d, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("author"))
+    return repo.owners(commits)
 
 
 @query("select user_id as path, cast(count(*) as bigint) as churn from events where event_type in ('purchase', 'signup') group by 1")
 def churn_count(spark, d):
-    return read(spark, d, "events").filter(F.col("event_type").isin("purchase", "signup")).groupBy(F.col("user_id").alias("path")).agg(F.count("*").alias("churn"))
+    status = F.when(F.col("event_type") == "purchase", "A").when(F.col("event_type") == "signup", "M").otherwise("D")
+    return repo.churn(read(spark, d, "events").select(F.col("user_id").alias("path"), status.alias("status")))
 
 
 @query("select event_id, list_sort(list_transform(json_keys(props), lambda k: k))[1] as first_key, try_cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -199,22 +206,28 @@ def escape_xml(spark, d):
     return read(spark, d, "pages").select("page_id", scoring.escape_xml(F.col("url")).alias("url"))
 
 
-@query("""select doc_id, caller, callee, cast(count(*) as bigint) as n from (select doc_id, lang as caller,
-  unnest(regexp_extract_all(text, '([A-Za-z_]+)\\.', 1)) as callee from documents) group by 1, 2, 3""")
+@query("""select doc_id::varchar as path, 'f' || doc_id as caller, 'g' || doc_id % 7 as callee, cast(2 as integer) as line, 0.8::double as confidence from documents
+  union all select doc_id::varchar, 'f' || doc_id, 'k' || doc_id % 5, 3, case when doc_id % 3 = 1 then 0.9 else 0.8 end::double from documents""")
 def extract_calls(spark, d):
-    call = F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]+)\."), 1))
-    return read(spark, d, "documents").select("doc_id", F.col("lang").alias("caller"), call.alias("callee")).groupBy("doc_id", "caller", "callee").agg(F.count("*").alias("n"))
+    k = F.col("doc_id").cast("string")
+    of = lambda m: (F.col("doc_id") % m).cast("string")
+    python = F.concat(F.lit("def f"), k, F.lit("():\n    g"), of(7), F.lit("()\n    h.k"), of(5), F.lit("(1)\n"))
+    rust = F.concat(F.lit("pub fn f"), k, F.lit("() {\n    g"), of(7), F.lit("();\n    h.k"), of(5), F.lit("(1);\n}\n"))
+    script = F.concat(F.lit("function f"), k, F.lit("() {\n    g"), of(7), F.lit("();\n    h.k"), of(5), F.lit("(1);\n}\n"))
+    which = F.col("doc_id") % 3
+    sources = read(spark, d, "documents").select(k.alias("path"), F.when(which == 0, "python").when(which == 1, "rust").otherwise("typescript").alias("language"), F.when(which == 0, python).when(which == 1, rust).otherwise(script).alias("text"))
+    return extract.call_sites(extract.extract(sources))
 
 
 @query("""select source, doc_id, n_chars, cast(r as integer) as place from (select *, row_number() over (partition by source order by n_chars desc, doc_id) r from documents) where r <= 40""")
 def bucket_top40(spark, d):
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    return read(spark, d, "documents").select("source", "doc_id", "n_chars").withColumn("place", place).filter("place <= 40")
+    rows = read(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return lookup.top_per(rows, ["source"], [F.desc("n_chars"), F.col("doc_id")], 40)
 
 
 @query("select text_hash, min(doc_id) as doc_id, cast(count(*) as bigint) as copies from (select sha256(text) as text_hash, doc_id from documents) group by 1")
 def first_wins_dedup(spark, d):
-    return read(spark, d, "documents").groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return lookup.first_wins(read(spark, d, "documents"), F.sha2("text", 256), "doc_id").toDF("text_hash", "doc_id", "copies")
 
 
 @query("""select c_custkey as path, cast(r as integer) as place, o_orderkey as symbol, score from (select c_custkey, o_orderkey, score,
@@ -224,9 +237,8 @@ def first_wins_dedup(spark, d):
 def symbols_ranked_per_file(spark, d):
     o = read(spark, d, "orders")
     score = scoring.hits(F.col("o_orderpriority"), ["urgent"], 2.0) + scoring.hits(F.col("o_orderpriority"), ["high"], 1.0)
-    rows = o.join(read(spark, d, "customer").select("c_custkey"), o["o_custkey"] == F.col("c_custkey")).select("c_custkey", "o_orderkey", score.alias("score"))
-    place = F.row_number().over(Window.partitionBy("c_custkey").orderBy(F.desc("score"), "o_orderkey"))
-    return rows.withColumn("place", place).filter("place <= 8").select(F.col("c_custkey").alias("path"), "place", F.col("o_orderkey").alias("symbol"), "score")
+    rows = o.join(read(spark, d, "customer").select("c_custkey"), o["o_custkey"] == F.col("c_custkey")).select(F.col("c_custkey").alias("path"), F.col("o_orderkey").alias("symbol"), score.alias("score"))
+    return lookup.top_per(rows, ["path"], [F.desc("score"), F.col("symbol")], 8)
 
 
 @query("""select key, cast(score as bigint) as score, case when score <= 24 then 'low' when score <= 59 then 'medium' when score <= 84 then 'high' else 'critical' end as level from

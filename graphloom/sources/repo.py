@@ -6,6 +6,7 @@ import json
 import os
 import re
 import subprocess
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,11 @@ def diff(spark: SparkSession, names: list[str], numbers: list[str]) -> DataFrame
     status = _lines(spark, names).select(F.get(cols, F.lit(1)).alias("path"), cols[0].alias("status"))
     num = lambda k: F.coalesce(F.expr(f"try_cast(split(value, '\t')[{k}] as bigint)"), F.lit(0).cast("long"))
     stat = _lines(spark, numbers).select(F.get(cols, F.lit(2)).alias("path"), num(0).alias("lines_added"), num(1).alias("lines_deleted"))
+    return with_sizes(status, stat)
+
+
+def with_sizes(status: DataFrame, stat: DataFrame) -> DataFrame:
+    """path, status, lines_added, lines_deleted; 0 where the sizes have no row for a path."""
     zero = F.lit(0).cast("long")
     return status.join(stat, "path", "left").select("path", "status", F.coalesce("lines_added", zero).alias("lines_added"), F.coalesce("lines_deleted", zero).alias("lines_deleted"))
 
@@ -93,25 +99,37 @@ def blame(spark: SparkSession, lines: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "line int, hash string, author string, text string")
 
 
-def churn(spark: SparkSession, names: list[str]) -> DataFrame:
-    """Commits that added or changed each path, from lines of log --name-status."""
+def churn(changes: DataFrame) -> DataFrame:
+    """Commits that added or changed each path. changes: path, status (A, M and so on), one row for each commit."""
+    return changes.filter(F.col("status").isin("A", "M")).groupBy("path").agg(F.count("*").alias("churn"))
+
+
+def name_status(spark: SparkSession, lines: list[str]) -> DataFrame:
+    """path, status from lines of --name-status."""
     p = F.split("value", "\t")
-    return _lines(spark, names).filter(F.col("value").rlike("^[AM]\t")).groupBy(p[1].alias("path")).agg(F.count("*").alias("churn"))
+    return _lines(spark, lines).filter(F.size(p) > 1).select(p[1].alias("path"), p[0].alias("status"))
 
 
-def owners(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    """The author with most commits of each path, first by name among equals. rows: (path, author)."""
-    n = spark.createDataFrame(rows, "path string, author string").groupBy("path", "author").count()
-    return n.groupBy("path").agg(F.min_by("author", F.struct(-F.col("count"), "author")).alias("owner"))
+def owners(commits: DataFrame) -> DataFrame:
+    """(path, owner, commits): the author with most commits of each path, the first of equals. commits: path, author."""
+    n = commits.groupBy("path", "author").count()
+    best = n.groupBy("path").agg(F.min_by(F.struct("author", "count"), F.struct(-F.col("count"), "author")).alias("b"))
+    return best.select("path", F.col("b.author").alias("owner"), F.col("b.count").alias("commits"))
 
 
 def changed_paths(spark: SparkSession, porcelain: list[str], names: list[str], skip: bool = False) -> DataFrame:
     """Union of a working tree's status lines (renames give the new path) and a diff's names."""
-    tree = _lines(spark, porcelain).select(F.element_at(F.split(F.substring("value", 4, 4096), " -> "), -1).alias("path"))
-    both = tree.union(_lines(spark, names)).select(paths.normalize(F.regexp_replace("path", '^"|"$', "")).alias("path")).filter("path != ''").distinct()
+    tree = _lines(spark, porcelain).select(F.element_at(F.split(F.expr("substring(value, 4)"), " -> "), -1).alias("path"))
+    both = union_of(tree, _lines(spark, names).toDF("path"))
     return both.filter(~paths.skipped_by_update(F.col("path"))) if skip else both
 
 
+def union_of(*sets: DataFrame) -> DataFrame:
+    """Distinct normalised paths (column path) of several change sets."""
+    both = reduce(DataFrame.union, [x.select("path") for x in sets])
+    return both.select(paths.normalize(F.regexp_replace("path", '^"|"$', "")).alias("path")).filter("path != ''").distinct()
+
+
 def tsconfig_aliases(spark: SparkSession, text: str) -> DataFrame:
     """alias, target of compilerOptions.paths: the first target, without /*."""
     found = json.loads(text).get("compilerOptions", {}).get("paths", {})

@@ -91,3 +91,11 @@ def markdown(title: str, sections: dict[str, list[str]]) -> str:
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("__k = 1").drop("__k")
+
+
+def without(edges: DataFrame, kind: str, sources: DataFrame | None = None) -> DataFrame:
+    """Edges but those of a kind, or those of it that leave the sources (column src)."""
+    if sources is None:
+        return edges.filter(F.col("kind") != kind)
+    gone = sources.select("src", F.lit(kind).alias("kind")).distinct()
+    return edges.join(gone, ["src", "kind"], "left_anti").select(*edges.columns)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import paths
-from ..operators import extract
 
 
 def changed(current: DataFrame, seen: DataFrame) -> DataFrame:
@@ -25,13 +24,14 @@ def vanished(current: DataFrame, seen: DataFrame) -> DataFrame:
     return seen.select("path").join(current.select("path"), "path", "left_anti")
 
 
-def reindex(current: DataFrame, store: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The store (files, symbols, imports, calls) after the changed files are parsed and the vanished ones gone."""
-    new = changed(current, store["files"])
-    gone = vanished(current, store["files"]).union(new.select("path"))
-    rows = extract.extract(new)
-    fresh = {"files": new.select(*store["files"].columns), "symbols": extract.symbols(rows), "imports": extract.imports(rows), "calls": extract.call_sites(rows)}
-    return {k: store[k].join(gone, "path", "left_anti").unionByName(fresh[k]) for k in store}
+#: Buckets of keys of a table.
+BUCKETS = 32
+
+
+def same_set(now: DataFrame, before: DataFrame) -> bool:
+    """Whether two sets of (path, hash) are equal."""
+    pick = lambda a, b: a.select("path", "hash").join(b.select("path", "hash"), ["path", "hash"], "left_anti").isEmpty()
+    return pick(now, before) and pick(before, now)
 
 
 def latest(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -41,7 +41,8 @@ def latest(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 class Table:
-    """A keyed table as Parquet versions under one folder; a version is written once, under the number of its batch."""
+    """A keyed table in BUCKETS buckets of keys. A micro-batch writes the buckets that it touches, once, under its
+    number; the table is the newest copy of each bucket. The two newest copies of a bucket stay."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str, order: list[str]):
         self.spark, self.path, self.schema, self.key, self.order = spark, path.rstrip("/"), schema, key, order
@@ -49,18 +50,38 @@ class Table:
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.path))
 
-    def versions(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v-") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
+    def _names(self, folder: str) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(folder))]
 
-    def read(self, before: int | None = None) -> DataFrame:
-        at = [v for v in self.versions() if before is None or v < before]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v-{at[-1]}") if at else self.spark.createDataFrame([], self.schema)
+    def versions(self) -> list[int]:
+        return sorted(int(n[2:]) for n in self._names(self.path) if n.startswith("v-") and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
+
+    def _copies(self, before: int | None = None) -> dict[int, list[str]]:
+        """Folders of each bucket, newest first."""
+        out: dict[int, list[str]] = {}
+        for v in reversed(self.versions()):
+            if before is None or v < before:
+                for n in self._names(f"{self.path}/v-{v}"):
+                    if n.startswith("bucket="):
+                        out.setdefault(int(n[7:]), []).append(f"{self.path}/v-{v}/{n}")
+        return out
+
+    def read(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        paths_ = [c[0] for b, c in sorted(self._copies(before).items()) if buckets is None or b in buckets]
+        return self.spark.read.schema(self.schema).parquet(*paths_) if paths_ else self.spark.createDataFrame([], self.schema)
 
     def merge(self, batch: DataFrame, number: int) -> None:
-        """Rows of the batch replace older ones; the version before this batch is the base, also when it runs again."""
-        both = self.read(before=number).unionByName(batch.select(*self.read(before=number).columns))
-        latest(both, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/v-{number}")
+        """Rows of the batch replace older ones; the buckets before this batch are the base, also when it runs again."""
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
+        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]
+        if not touched:
+            return
+        base = self.read(number, touched)
+        rows = latest(base.unionByName(batch.select(*base.columns)), self.key, self.order)
+        rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v-{number}")
+        for copies in self._copies().values():
+            for old in copies[2:]:
+                self._fs.delete(self._path(old), True)
 
 
 def watch(spark: SparkSession, source: str, schema: str, table: Table, checkpoint: str, on_batch: Callable[[int, int], None] | None = None, once: bool = True, interval: str = "1500 milliseconds", keep: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:

@@ -20,8 +20,8 @@ def test_git_relations(spark):
     assert repo.log(spark, ["h|me|2020|fix a|b", "bad"]).first().message == "fix a|b"
     h = "a" * 40
     assert [tuple(r) for r in repo.blame(spark, [f"{h} 1 1 1", "author Ann", "\tx = 1", f"{h} 2 2", "\ty"]).collect()] == [(1, h, "Ann", "x = 1"), (2, h, "Ann", "y")]
-    assert {tuple(r) for r in repo.churn(spark, ["M\ta", "A\ta", "D\ta", "M\tb"]).collect()} == {("a", 2), ("b", 1)}
-    assert repo.owners(spark, [("a", "z"), ("a", "b")]).first().owner == "b"
+    assert {tuple(r) for r in repo.churn(repo.name_status(spark, ["M\ta", "A\ta", "D\ta", "M\tb"])).collect()} == {("a", 2), ("b", 1)}
+    assert repo.owners(spark.createDataFrame([("a", "z"), ("a", "b")], "path string, author string")).first().owner == "b"
     assert {r.path for r in repo.changed_paths(spark, ["R  a.rs -> b.rs", " M target/x"], ["./c.rs"], skip=True).collect()} == {"b.rs", "c.rs"}
     assert repo.tsconfig_aliases(spark, '{"compilerOptions": {"paths": {"@/*": ["src/*", "x"]}}}').first() == ("@", "src")
     assert repo.rules_from_json('{"rules": [{"name": "r", "max_lines": 5}]}') == [("r", "error", None, None, None, 5)]
@@ -46,20 +46,6 @@ def test_merges_and_exports(spark):
     assert sinks.html_rows(nodes).count() == 1 and sinks.markdown("T", {"A": ["x"], "B": []}) == "# T\n\n## A\n\n- x\n"
 
 
-def test_reindex(spark):
-    store = {
-        "files": spark.createDataFrame([("a.rs", "old", "rust"), ("gone.rs", "g", "rust")], "path string, hash string, language string"),
-        "symbols": spark.createDataFrame([("a.rs", "x", "function", 1, 1, None, None), ("gone.rs", "y", "function", 1, 1, None, None)], "path string, name string, kind string, start_line int, end_line int, signature string, visibility string"),
-        "imports": spark.createDataFrame([], "path string, target string, is_relative boolean, imported_names array<string>, line int"),
-        "calls": spark.createDataFrame([], "path string, caller string, callee string, line int, confidence double"),
-    }
-    now = spark.createDataFrame([("a.rs", "new", "rust", "fn z() { q(); }"), ("b.rs", "b", "rust", "fn w() {}")], "path string, hash string, language string, text string")
-    after = watch.reindex(now, store)
-    assert {(r.path, r.name) for r in after["symbols"].collect()} == {("a.rs", "z"), ("b.rs", "w")}
-    assert {r.path for r in after["files"].collect()} == {"a.rs", "b.rs"} and after["calls"].first().callee == "q"
-    assert watch.changed(now, after["files"]).count() == 0
-
-
 def test_watch_is_idempotent(spark, tmp_path):
     schema = "path string, hash string, ts long"
     src, events = str(tmp_path / "in"), []
@@ -73,6 +59,16 @@ def test_watch_is_idempotent(spark, tmp_path):
     table.merge(spark.createDataFrame([("a", "2", 2)], schema), 1)
     assert {tuple(r) for r in table.read().collect()} == {("a", "2", 2), ("b", "1", 1)}
     assert events == [(0, 2), (1, 1)]
+    # a third change of one path leaves two copies of its bucket, and touches no other
+    table.merge(spark.createDataFrame([("a", "3", 3)], schema), 2)
+    assert all(len(c) <= 2 for c in table._copies().values()) and len(table.read().collect()) == 2
+
+
+def test_long_paths_and_equal_sets(spark):
+    long = "d/" * 4000 + "x.rs"
+    assert repo.changed_paths(spark, [f" M {long}"], []).first().path == long
+    now = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, hash string")
+    assert watch.same_set(now, now) and not watch.same_set(now, now.limit(1)) and not watch.same_set(now.limit(1), now)
 
 
 def test_windowed_counts(spark):
