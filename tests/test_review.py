@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from graphloom.functions import paths, scoring
@@ -100,3 +102,15 @@ def test_search_fallback_and_hybrid(spark):
     assert r.reason == "semantic_vector_graph" and abs(r.score - 0.5) < 1e-9
     v = search.hash_embedding(docs, "node", "content").first().vector
     assert len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-9
+
+
+def test_words_meet_no_pairs_of_paths(spark):
+    """30,000 words and 100,000 paths of like beginnings: met by two letters, more than a thousand million pairs."""
+    began = time.monotonic()
+    files = spark.range(100_000).selectExpr("'f' || id as node", "'tests/c' || (100000 + id) || '.rs' as path")
+    symbols = spark.range(30_000).selectExpr("'s' || id as node", "'order_' || (100000 + id * 3) as name", "'function' as kind", "'tests/c100000.rs' as path")
+    edges = spark.createDataFrame([], "src string, dst string, kind string")
+    got = review.suggested_tests(files, symbols, edges, spark.createDataFrame([("tests/c100000.rs",)], "path string"), 3).collect()
+    # tests, c100000 and 100000, then tests and the number of each third path
+    assert [(r.path, r.score) for r in got] == [("tests/c100000.rs", 6.0), ("tests/c100003.rs", 4.5), ("tests/c100006.rs", 4.5)]
+    assert time.monotonic() - began < 45
