@@ -62,3 +62,10 @@ def test_trace_takes_the_first_of_the_shortest(spark):
     one = lambda *x: spark.createDataFrame([(k,) for k in x], "node string")
     got = graph.traces(spark.createDataFrame(edges, "src string, dst string, ord int"), one("e"), one("t", "u", "e")).collect()
     assert [(r.entry, r.path) for r in got] == [("e", ["e", "b", "t"])]
+
+
+def test_rings_within_cycles(spark):
+    """Pairs that point at each other, most of all arcs, lie on a larger cycle, on a tail and alone; one has a self-loop."""
+    edges = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 0), (0, 1), (4, 8), (8, 9), (9, 8), (9, 7), (20, 21), (21, 20), (21, 21), (30, 30), (5, 4)]
+    got = {r.node: r.component for r in graph.cycles(spark.createDataFrame(edges * 2, EDGES)).collect()}
+    assert got == {k: 0 for k in range(5)} | {8: 8, 9: 8, 20: 20, 21: 20, 30: 30}
