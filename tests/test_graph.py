@@ -69,3 +69,26 @@ def test_rings_within_cycles(spark):
     edges = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 0), (0, 1), (4, 8), (8, 9), (9, 8), (9, 7), (20, 21), (21, 20), (21, 21), (30, 30), (5, 4)]
     got = {r.node: r.component for r in graph.cycles(spark.createDataFrame(edges * 2, EDGES)).collect()}
     assert got == {k: 0 for k in range(5)} | {8: 8, 9: 8, 20: 20, 21: 20, 30: 30}
+
+
+def test_loops_send_no_tables_to_the_driver(spark):
+    """Joins of a loop are not broadcast, though these tables are small enough: each one would go through the driver."""
+    from graphloom import runtime
+
+    plans, real = [], runtime.written
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    graph.written = watched
+    try:
+        graph.cycles(spark.range(60).selectExpr("id as src", "(id * 7 + 1) % 60 as dst")).collect()
+        graph.components(spark.range(60).selectExpr("id as src", "id + 1 as dst")).collect()
+        assert graph.rank(spark.range(60).withColumnRenamed("id", "node"), spark.range(60).selectExpr("id as src", "(id * 7) % 60 as dst"), 3).count() == 60
+    finally:
+        graph.written = real
+    rounds = [p for p in plans if "ShuffledHashJoin" in p]
+    assert not any("Broadcast" in p for p in plans) and len(rounds) == 3
+    # of the arcs, which are in buckets, nothing is moved: a round moves scores and messages
+    assert all(p.count("Exchange hashpartitioning") == 2 for p in rounds)
