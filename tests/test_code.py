@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import outputs
-from graphloom.operators import ask, assemble, lookup, postings, resolve
+from graphloom.operators import ask, assemble, lookup, postings, resolve, search
 from graphloom.sources.store import Store
 
 LIB = "pub mod store;\nuse crate::store::Db;\npub fn run() {\n    open();\n    helper();\n}\nfn helper() {}\n"
@@ -134,6 +134,30 @@ def test_stored_index(spark, tmp_path):
     assert index.bm25("store", 5).count() == 0
 
 
+def test_stored_index_counts_within_documents(spark, tmp_path):
+    rows = [("a", "Open the store, open it"), ("b", "store caf\u00e9s \u0130x \u212a"), ("b", "store of 2 things"), (None, "STORE"), (None, "store"), ("c", None), ("d", ""), ("e", "?!")]
+    docs = spark.createDataFrame(rows, "node string, content string")
+    plan = postings.postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # a document's counts need no shuffle
+    index = postings.Index(spark, str(tmp_path / "i")).build(docs)
+    got = {r.term: (r.docs, r.uses) for r in index.terms().collect()}
+    assert got["store"] == (3, 5) and got["open"] == (1, 2)  # keys, of which b and null have two documents each
+    assert {"caf", "s", "i", "x", "k", "2"} < set(got) and len(got) == 12
+    for query in ("store", "open store", "store x", "none"):
+        want = [(r.node, round(r.score, 12)) for r in search.bm25(docs, query, 9).collect()]
+        assert [(r.key, round(r.score, 12)) for r in index.bm25(query, 9).collect()] == want
+
+
+def test_stored_index_is_shuffled_once_in_runs(spark, tmp_path):
+    words = [f"w{k * 7919 % 5000}" for k in range(5000)]
+    docs = spark.createDataFrame([(k, " ".join(words[k::40] + ["the"] * (k + 1))) for k in range(40)], "node long, content string").repartition(3)
+    index = postings.Index(spark, str(tmp_path / "i")).build(docs)
+    assert {r.term: (r.docs, r.uses) for r in index.terms().collect()} == {w: (1, 1) for w in words} | {"the": (40, 820)}
+    for part in sorted((tmp_path / "i" / "postings").glob("bucket=*/*.parquet")):
+        terms = [r.term for r in spark.read.parquet(str(part)).collect()]
+        assert terms == sorted(terms)
+
+
 def test_hot_names_meet_a_site_once(spark):
     symbols = spark.createDataFrame([(k, f"f{k}.rs", "new", 1) for k in range(500)] + [(900, "only.rs", "A::solo", 3)], "symbol_id long, path string, name string, start_line int")
     sites = spark.createDataFrame([(1, "f7.rs", "new"), (2, "x.rs", "new"), (3, "x.rs", "solo"), (4, "y.rs", "new")], "site long, path string, callee string")
